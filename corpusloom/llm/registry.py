@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from corpusloom.llm import oracle
+from corpusloom.llm.packing import op1_packing
 from corpusloom.llm.pii import op8_pii
 from corpusloom.llm.quality import op3_quality
 
-QUERIES = (op3_quality, op8_pii)
+QUERIES = (op1_packing, op3_quality, op8_pii)
 
 
 def queries() -> dict:
