@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from corpusloom.llm import oracle
+from corpusloom.llm.decontamination import op10_decontamination
 from corpusloom.llm.packing import op1_packing
 from corpusloom.llm.pii import op8_pii
 from corpusloom.llm.quality import op3_quality
 
-QUERIES = (op1_packing, op3_quality, op8_pii)
+QUERIES = (op1_packing, op3_quality, op8_pii, op10_decontamination)
 
 
 def queries() -> dict:
