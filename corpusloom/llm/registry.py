@@ -7,8 +7,9 @@ from corpusloom.llm.decontamination import op10_decontamination
 from corpusloom.llm.packing import op1_packing
 from corpusloom.llm.pii import op8_pii
 from corpusloom.llm.quality import op3_quality
+from corpusloom.llm.sharding import op9_sharding
 
-QUERIES = (op1_packing, op3_quality, op8_pii, op10_decontamination)
+QUERIES = (op1_packing, op3_quality, op8_pii, op9_sharding, op10_decontamination)
 
 
 def queries() -> dict:
