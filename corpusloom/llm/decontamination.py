@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read, small_batches, written
+from corpusloom.llm.common import read, small_batches, words_of, written
 
 WINDOW = 13
 #: Text of one block of items; its index takes about ten times as much in each worker.
@@ -32,14 +32,6 @@ BLOCK_BYTES = 8 << 20
 #: A document is contaminated if hit words are at least 1 / SHARE of its words.
 SHARE = 20
 
-#: ASCII upper case becomes lower case, other ASCII characters but digits and letters become spaces.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of ASCII letters and digits and of all other characters, A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
-
 
 class Index:
     """The windows of a block of items by their prefix words."""
