@@ -33,7 +33,7 @@ BUCKETS = 1 << 18
 MAX_ROWS = 12_000
 MAX_TERMS = 2048
 #: A term is kept if the difference of its frequencies is so many standard errors, and so many documents have it.
-MIN_Z, MIN_DOCS = 4.0, 3
+MIN_Z, MIN_DOCS = 6.0, 3
 FACTORS, STEPS, RATE, SHRINK = 8, 250, 0.05, 1e-3
 #: Logit of a text when nothing is known of the labels.
 PRIOR = -3.0
@@ -104,7 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine
     teach = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     teach = teach.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     teach = teach.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(teach), "doc_id").select("label", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(teach), "doc_id")
+    # copies teach once
+    texts = texts.groupBy("text").agg(F.max("label").alias("label")).select("label", "text")
     texts = written(texts, "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
