@@ -8,9 +8,10 @@ from corpusloom.llm.packing import op1_packing
 from corpusloom.llm.pii import op8_pii
 from corpusloom.llm.quality import op3_quality
 from corpusloom.llm.sharding import op9_sharding
+from corpusloom.llm.simhash import op6_simhash
 from corpusloom.llm.toxicity import op7_toxicity
 
-QUERIES = (op1_packing, op3_quality, op7_toxicity, op8_pii, op9_sharding, op10_decontamination)
+QUERIES = (op1_packing, op3_quality, op6_simhash, op7_toxicity, op8_pii, op9_sharding, op10_decontamination)
 
 
 def queries() -> dict:
