@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import read, small_batches, words_of, written
 
@@ -150,9 +151,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
         if many:
             return source.select("_row", "text").mapInArrow(run, "_row long, n_words long, n_hit long, items array<string>, starts array<long>, stops array<long>").filter("n_hit > 0")
-        kept = [f for f in source.schema.fields if f.name in keep and f.name != "doc_id"]
-        schema = "doc_id long, n_words long, n_hit long, items array<string>" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-        return source.mapInArrow(run, schema)
+        own = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType()))
+        return source.mapInArrow(run, T.StructType([*own.fields, *(f for f in source.schema.fields if f.name in keep and f.name != "doc_id")]))
 
     if second is None:
         return search(first, rows, False)
@@ -175,6 +175,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return joined.select("doc_id", n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *(c for c in rows.columns if c in keep and c != "doc_id"))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns, whatever their names."""
+    names = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = find_hits(docs.withColumnsRenamed(names), benchmark, keep=("text", *names.values()))
+    found = found.filter(~contaminated(F.col("n_hit"), F.col("n_words")))
+    return found.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+
+
 def contaminated(n_hit, n_words):
     return (n_hit > 0) & (SHARE * n_hit >= n_words)
 

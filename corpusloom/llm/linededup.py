@@ -281,6 +281,15 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FU
     return joined.select(*(F.when(cut, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), told.alias("_lines"))
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs with cleaned texts and nothing else changed but n_chars, where that column holds their lengths."""
+    found = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.col("_lines.cut"), size).otherwise(F.col("n_chars")))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, which of them are removed as duplicates, and the documents that keep them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -156,6 +156,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs whose doc_id is its component's smallest, and rows without a doc_id.
+
+    A doc_id on several rows stays on all of them if one of them stays.
+    """
+    found = near_duplicates(docs, shingle, radius)
+    state = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = written(state.filter(~F.col("stays")).select(F.col("doc_id").alias("_gone")), "copies")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

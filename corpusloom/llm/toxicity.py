@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import read, small_batches, words_of, written
 
@@ -145,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine
     return Machine(terms, *train(doc, term, np.array([y for y, _ in encoded], dtype=np.float64), max(1, len(chosen))))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs with a column toxicity (0 to 1), which replaces one of that name."""
+def score(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataFrame:
+    """The rows of docs with their score (0 to 1) in a column, which replaces one of that name."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -155,11 +156,10 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             texts = batch.column("text").to_pylist()
             logit = shared.value.logits(*active(texts, shared.value.terms), len(texts))
             values = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, column])
 
-    plain = docs.drop("toxicity")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(run, f"{fields}, toxicity double")
+    plain = docs.drop(column)
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
