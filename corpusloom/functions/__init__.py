@@ -1 +1 @@
-
+"""Column expressions on texts and paths."""

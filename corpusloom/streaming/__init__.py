@@ -1 +1 @@
-
+"""Keeping an index current from a stream of documents."""
