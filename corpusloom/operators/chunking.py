@@ -119,7 +119,7 @@ def sections(rows: list[tuple[Span, str]]) -> list[Span]:
         if not groups or (not fence and re.match("#[ #]", plain)):
             groups.append([])
         groups[-1].append(span)
-    return [s for g in groups for s in ([m] if (m := _merged(g)).tokens <= TARGET else g)]
+    return [s for g in groups for s in (g if sum(x.tokens for x in g) > TARGET else [_merged(g)])]
 
 
 def chunks(text: str, markdown: bool) -> list[Span]:
