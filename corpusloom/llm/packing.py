@@ -46,53 +46,113 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+#: The pre-tokenisation that byte-level tokenizers share: a published constant.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts on which a fast coder must agree with the tokenizer before it is used.
+PROBES = ("Hello  world, it's 1234!\n\n\tÉté\u00a0naïve 日本語 😀 <|endoftext|> ", " don't\r\nWE'LL ... ## x_y-z\x0b\x1f", "", " ", "\n", "a\nb \n c", "ünïcödé ﬁ ǅ \u0301e")
+
+
+def _byte_signs() -> dict[str, int]:
+    """The printable sign that stands for each byte in a byte-level vocabulary: itself, or the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _fast_coder(code):
+    """A tiktoken coder of the same ids, or None where the tokenizer is not plain byte-level BPE with ids in merge order."""
+    import json
+
+    told, signs = json.loads(code.to_str()), _byte_signs()
+    merges = told["model"].get("merges", [])
+    vocab = told["model"].get("vocab", {})
+    if told["model"].get("type") != "BPE" or (told.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or told.get("normalizer"):
+        return None
+    ranks = {bytes(signs[c] for c in t): i for t, i in vocab.items() if all(c in signs for c in t) and not (t.startswith("<|") and t.endswith("|>"))}
+    joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+    if any(vocab[a] >= vocab[b] for a, b in zip(joined, joined[1:])):
+        return None
+    import tiktoken
+
+    fast = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    agree = all(fast.encode_ordinary(p) == code.encode(p, add_special_tokens=False).ids for p in PROBES)
+    return fast if agree else None
+
+
 class Coder:
-    """Ids of whole texts as bytes, by the tokenizer, with the ids of words kept.
+    """Ids of whole texts as bytes, those of the tokenizer, with the ids of words kept.
 
-    Where every white space is one space or one line feed, byte-level BPE codes a text word by
-    word: a word takes the space before it along, a line feed stands alone. Other texts are
-    coded whole. The kept words are bounded by KEEP for each worker.
+    Plain byte-level BPE codes a text word by word where every white space is one space or one
+    line feed: a word takes the space before it along, a line feed stands alone. Words are
+    merged by a faster coder of the same vocabulary. Other texts are coded whole, and so is
+    every text by another kind of tokenizer. Kept words come in two generations of about KEEP
+    for each worker.
     """
 
-    KEEP = 500_000
+    KEEP = 120_000
 
     def __init__(self, path: str):
         self.code = _tokenizer(path)
+        self.fast = _fast_coder(self.code)
         self.type = np.dtype("<u2" if self.code.get_vocab_size() <= 1 << 16 else "<u4")
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        self.feed = self._coded(["\n"])[0]
+        self.old_heads: dict[str, bytes] = {}
+        self.old_tails: dict[str, bytes] = {}
+        self.feed = self._whole("\n")
         self.end = np.array([END], dtype=self.type).tobytes()
 
-    def _coded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.type).tobytes() for x in self.code.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        ids = self.fast.encode_ordinary(text) if self.fast else self.code.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype=self.type).tobytes()
 
-    def _learn(self, kept: dict[str, bytes], words: set[str], before: str) -> None:
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of each word, coded together as lines."""
+        ids = np.array(self.fast.encode_ordinary("\n".join([before + w for w in words])), dtype=self.type)
+        raw, size = ids.tobytes(), self.type.itemsize
+        stops = (np.flatnonzero(ids == np.frombuffer(self.feed, self.type)[0]) * size).tolist()
+        return [raw[a:b] for a, b in zip([0, *(s + size for s in stops)], [*stops, len(raw)], strict=True)]
+
+    def _learn(self, kept: dict[str, bytes], old: dict[str, bytes], words: set[str], before: str) -> None:
+        """Words move from the old generation to the new one when they come again; the rest are coded."""
         if len(kept) > self.KEEP:
+            old.clear()
+            old.update(kept)
             kept.clear()
-        new = [w for w in words if w not in kept]
+        new = []
+        for w in words.difference(kept):
+            if w in old:
+                kept[w] = old[w]
+            else:
+                new.append(w)
         for at in range(0, len(new), 4096):
-            kept.update(zip(new[at : at + 4096], self._coded([before + w for w in new[at : at + 4096]]), strict=True))
+            kept.update(zip(new[at : at + 4096], self._words(new[at : at + 4096], before), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        lines: list[list[list[str]] | None] = []
+        if self.fast is None:
+            return [np.array([*x.ids, END], dtype=self.type).tobytes() for x in self.code.encode_batch_fast(texts, add_special_tokens=False)]
+        lines: list[list[tuple[str, list[str]]] | None] = []
         heads, tails = set(), set()
         for text in texts:
-            if text and len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            # one space or one line feed between words, and no other white space
+            if text and text.split() != text.replace("\n", " ").split(" "):
                 lines.append(None)
                 continue
-            lines.append([line.split(" ") for line in text.split("\n")] if text else [])
-            for words in lines[-1]:
-                heads.add(words[0])
-                tails.update(words[1:])
-        self._learn(self.heads, heads, "")
-        self._learn(self.tails, tails, " ")
+            split = []
+            for line in text.split("\n") if text else ():
+                head, *tail = line.split(" ")
+                heads.add(head)
+                tails.update(tail)
+                split.append((head, tail))
+            lines.append(split)
+        self._learn(self.heads, self.old_heads, heads, "")
+        self._learn(self.tails, self.old_tails, tails, " ")
         get, out = self.tails.__getitem__, []
         for text, split in zip(texts, lines, strict=True):
             if split is None:
-                out.append(self._coded([text])[0] + self.end)
+                out.append(self._whole(text) + self.end)
             else:
-                out.append(self.feed.join(self.heads[w[0]] + b"".join(map(get, w[1:])) for w in split) + self.end)
+                out.append(self.feed.join([self.heads[head] + b"".join(map(get, tail)) for head, tail in split]) + self.end)
         return out
 
 
