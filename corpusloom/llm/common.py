@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,10 +44,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: lineage ends, sizes are known to the planner."""
+    """Write a table in the shared folder and read it again: lineage ends, sizes are known to the planner.
+
+    Spark deletes shuffle files once the driver's garbage is collected, which may be long after
+    the disks are full: what the write has left behind is let go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,6 +32,8 @@ from corpusloom.llm.simhash import forest
 
 THRESHOLD, MIN_FUZZY, MAX_LOSS = 2, 24, 0.5
 BLOCK = 2048
+#: Ids (8 bytes each) that are broadcast at most; more are met in a shuffled join.
+BROADCAST_IDS = 2_000_000
 #: Pairs and cells of one verification.
 PAIRS, CELLS = 8192, 1 << 21
 #: Buckets of the character counts that rule pairs out before verification.
@@ -209,6 +211,10 @@ def line_links(distinct: DataFrame, threshold: int = THRESHOLD, least: int = MIN
     by_key = Window.partitionBy("key")
     met = rows.select("key", "id", "own", F.count("*").over(by_key).alias("n"), F.max("own").over(by_key).alias("filed")).filter("n > 1 and filed")
     met = written(met.select("key", "id", "own", "n"), "candidates")
+    # few lines meet others, as a rule: if their ids fit a bounded broadcast, the other texts stay where they are
+    ids = met.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        fuzzy = written(fuzzy.join(F.broadcast(ids), "id", "left_semi"), "met_lines")
     cuts = F.ceil(F.col("n") / block).cast("int")
     dealt = met.select("key", "id", "own", cuts.alias("cuts"), F.pmod(F.xxhash64("id"), cuts).cast("int").alias("block"))
     dealt = dealt.select("key", "id", "own", "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
@@ -264,30 +270,36 @@ def _key(docs: DataFrame):
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY, block: int = BLOCK, max_loss: float = MAX_LOSS) -> DataFrame:
-    """docs with the text cleaned, and a struct _lines of n_lines, duplicates, kept_in and cut (whether lines were removed)."""
-    gone = removals(docs, threshold, least, block).withColumnRenamed("document", "_document")
-    joined = docs.withColumn("_document", _key(docs)).join(gone.select("_document", F.struct("removed", "lost", "kept_in").alias("_gone")), "_document", "left")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    whole = F.length(F.array_join(lines, ""))
-    cut = F.coalesce(F.col("_gone.lost") <= max_loss * whole, F.lit(False))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone.removed", i)), "\n")
-    told = F.struct(
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("_gone.removed", F.array().cast("array<int>")).alias("duplicates"),
-        F.coalesce("_gone.kept_in", F.array().cast("array<long>")).alias("kept_in"),
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY, block: int = BLOCK, max_loss: float = MAX_LOSS, told: str = "_lines") -> DataFrame:
+    """docs with the text cleaned, and a struct (named by told, which replaces a column of that name) of n_lines, duplicates, kept_in and cut (whether lines were removed)."""
+    gone = removals(docs, threshold, least, block).withColumnRenamed("document", "_ld_document")
+    # measured before the join: who needs no text gets none shuffled
+    sizes = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")), F.length)
+    measured = docs.withColumns({"_ld_document": _key(docs), "_ld_n": F.coalesce(F.size(sizes), F.lit(0)), "_ld_whole": F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)})
+    joined = measured.join(gone.select("_ld_document", F.struct("removed", "lost", "kept_in").alias("_ld_gone")), "_ld_document", "left")
+    cut = F.coalesce(F.col("_ld_gone.lost") <= max_loss * F.col("_ld_whole"), F.lit(False))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_ld_gone.removed", i)), "\n")
+    struct = F.struct(
+        F.col("_ld_n").cast("long").alias("n_lines"),
+        F.coalesce("_ld_gone.removed", F.array().cast("array<int>")).alias("duplicates"),
+        F.coalesce("_ld_gone.kept_in", F.array().cast("array<long>")).alias("kept_in"),
         cut.alias("cut"),
     )
-    return joined.select(*(F.when(cut, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), told.alias("_lines"))
+    return joined.select(*(F.when(cut, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != told), struct.alias(told))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with cleaned texts and nothing else changed but n_chars, where that column holds their lengths."""
-    found = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        found = found.withColumn("n_chars", F.when(F.col("_lines.cut"), size).otherwise(F.col("n_chars")))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # columns that the operator names itself step aside
+    aside = {c: f"_ld_kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = dedup_lines(docs.withColumnsRenamed(aside))
+    out = []
+    for c in docs.columns:
+        own = F.col(aside.get(c, c))
+        if c == "n_chars":
+            own = F.when(F.col("_lines.cut"), F.length("text").cast(docs.schema[c].dataType)).otherwise(own)
+        out.append(own.alias(c))
+    return found.select(*out)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
