@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontamination, linededup, packing, simhash, toxicity
+from corpusloom.llm import decontamination, linededup, nearcopies, packing, toxicity
 from corpusloom.llm.common import read, written
 
 
@@ -20,8 +20,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id."""
+    return nearcopies.first_of_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

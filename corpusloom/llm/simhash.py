@@ -31,24 +31,33 @@ TILE = 32_768
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's shingles of words, repeats included; zero without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles of words, repeats included; a shorter text is one shingle, none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that most of the hashes have set; zero without hashes."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's shingles of words, repeats included; zero without words."""
+    return int(majority(shingle_hashes(text, shingle)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
