@@ -1,7 +1,8 @@
 """Licence scans: a trained paragraph classifier whose predictions a template comparison confirms.
 
-A paragraph is a line that holds an anchor word (ANCHORS); other lines are unknown by
-definition. Its word n-grams (one to three words) meet the weights of a multinomial logistic
+A paragraph is a line that holds an anchor word (ANCHORS) or that is confirmed without one. Lines
+are scored if they have an anchor or a three-word shingle of a template: without such a shingle
+the overlap is zero, so no line that could be confirmed is left out. A paragraph's word n-grams (one to three words) meet the weights of a multinomial logistic
 regression in a join with a broadcast table of bounded size; a softmax with a fitted
 temperature gives calibrated probabilities over the families and an unknown class. A family
 stands if its probability is at least MIN_PROBABILITY and at least MIN_OVERLAP of the
@@ -160,13 +161,25 @@ def model() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     return families, {g: [round(float(v), 6) for v in w[i]] for g, i in number.items()}, [round(float(v), 6) for v in b], float(temperature)
 
 
+def gate(phrases: set[str]) -> str:
+    """A pattern of lower-case text for any of the phrases of words, as a tree of their letters."""
+
+    def tree(rest: set[str]) -> str:
+        parts = ["(?![a-z0-9])"] if "" in rest else []
+        for letter in sorted({r[0] for r in rest if r}):
+            parts.append(("[^a-z0-9]++" if letter == " " else letter) + tree({r[1:] for r in rest if r and r[0] == letter}))
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return "(?<![a-z0-9])" + tree(phrases)
+
+
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """Constant rows as a SQL expression."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, line, paragraph, family, probability, overlap, confirmed for every line with an anchor word."""
+    """doc_id, line, paragraph, family, probability, overlap, confirmed for every line with an anchor word, and for confirmed lines without one."""
     spark = docs.sparkSession
     families, weights, biases, temperature = model()
     table = F.broadcast(_table(spark, [{"g": g, "w": w} for g, w in weights.items()], "g:string,w:array<double>"))
@@ -176,9 +189,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         owners.setdefault(shingle, []).append(family)
     known = F.broadcast(_table(spark, [{"g": s, "families": f} for s, f in owners.items()], "g:string,families:array<string>"))
 
-    hinted = docs.filter(F.col("text").rlike(ANCHORS)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+    shingled = gate(set(owners))
+    hinted = docs.filter(F.col("text").rlike(ANCHORS) | F.lower("text").rlike(shingled)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
     words = F.array_remove(F.split(F.lower("paragraph"), "[^a-z0-9]+"), "")
-    lines = hinted.filter(F.col("paragraph").rlike(ANCHORS)).select(F.monotonically_increasing_id().alias("id"), "doc_id", "line", "paragraph", words.alias("words"))
+    lines = hinted.filter(F.col("paragraph").rlike(ANCHORS) | F.lower("paragraph").rlike(shingled)).select(F.monotonically_increasing_id().alias("id"), "doc_id", "line", "paragraph", words.alias("words"))
 
     def grams(n: int):
         whole = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
@@ -197,7 +211,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max("z")))
     found = found.select("doc_id", "line", "paragraph", F.element_at(F.array(*map(F.lit, families)), best).alias("family"), (1 / total).alias("probability"), F.element_at("shares", best).alias("overlap"))
     sure = (F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("overlap") >= MIN_OVERLAP)
-    return found.withColumn("confirmed", sure)
+    return found.withColumn("confirmed", sure).filter(F.col("confirmed") | F.col("paragraph").rlike(ANCHORS))
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:
