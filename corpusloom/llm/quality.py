@@ -122,7 +122,7 @@ def judge(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("lost_chars") <= MAX_LOST_SHARE * F.col("chars"))).alias("kept"),
         F.size("lines").cast("long").alias("n_lines"), F.size("bad").cast("long").alias("n_bad_lines"), "chars", "lost_chars",
-        F.array_join(F.array_except("lines", "bad"), "\n").alias("cleaned"),
+        F.array_join(F.filter("lines", lambda x: ~F.array_contains("bad", x)), "\n").alias("cleaned"),
     )
 
 
