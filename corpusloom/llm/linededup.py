@@ -9,8 +9,11 @@ What more than BLOCK lines share is dealt out in pairs of blocks, and each task
 spanning forest of its links, so a hot segment neither meets in one task nor yields all pairs.
 
 Of each class of linked lines the first (by doc_id, then place) stays; others are removed. A
-document that would lose more than MAX_LOSS of its characters is a copy of another document
-rather than one with repeated lines: it is left whole for the document-level stages.
+document that would lose more than MAX_LOSS of its characters may be a copy of another document:
+op2_line_dedup and cleaned leave it to the document-level stages only if it is proved a near copy
+(by nearcopies' shingles and similarity) of a document that stays, as both are after this stage.
+Lines repeated within it go even then. dedup_lines alone leaves all such documents whole unless
+it is told the proved ones.
 
 Lines are split at line feeds; blank lines are no lines and stay. Shorter lines are compared for
 equality only. Null texts have no lines. Rows equal in doc_id and text are one document. Empty
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import SPACE, read, small_batches, written
 from corpusloom.llm.components import components
+from corpusloom.llm.nearcopies import SIMILAR, jaccard, shingle_set
 from corpusloom.llm.simhash import forest
 
 THRESHOLD, MIN_FUZZY, MAX_LOSS = 2, 24, 0.5
@@ -247,7 +251,7 @@ def line_links(distinct: DataFrame, threshold: int = THRESHOLD, least: int = MIN
 
 
 def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY, block: int = BLOCK) -> DataFrame:
-    """document (its key), removed array<int> (places of lines), lost (characters), kept_in array<long> (doc_ids)."""
+    """document (its key), removed array<int> (places of lines), lost (characters), kept_in array<long> (doc_ids), spots (place, size and keeper's document and place of each line)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key(docs).alias("document"))
     lines = rows.select("doc_id", "document", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.col("line").rlike(f"[^{SPACE}]"))
     lines = lines.select("doc_id", "document", "place", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
@@ -262,23 +266,77 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY
     some = some.join(keepers, "root").select("id", "id2", "keeper")
     found = lines.select("doc_id", "document", "place", F.length("line").alias("size"), "id", "id2").join(some, ["id", "id2"])
     found = found.filter(~((F.col("document") == F.col("keeper.document")) & (F.col("place") == F.col("keeper.place"))))
-    each = found.groupBy("document").agg(F.collect_set(F.struct("place", "size")).alias("spots"), F.array_sort(F.collect_set("keeper.doc_id")).alias("kept_in"))
-    return each.select("document", F.array_sort(F.col("spots.place")).alias("removed"), F.aggregate("spots.size", F.lit(0).cast("long"), lambda a, x: a + x).alias("lost"), "kept_in")
+    spots = F.struct("place", "size", F.col("keeper.document").alias("keeper"), F.col("keeper.place").alias("keeper_place"))
+    each = found.groupBy("document").agg(F.collect_set(spots).alias("spots"), F.array_sort(F.collect_set("keeper.doc_id")).alias("kept_in"))
+    return each.select("document", F.array_sort(F.col("spots.place")).alias("removed"), F.aggregate("spots.size", F.lit(0).cast("long"), lambda a, x: a + x).alias("lost"), "kept_in", "spots")
 
 
 def _key(docs: DataFrame):
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY, block: int = BLOCK, max_loss: float = MAX_LOSS, told: str = "_lines") -> DataFrame:
-    """docs with the text cleaned, and a struct (named by told, which replaces a column of that name) of n_lines, duplicates, kept_in and cut (whether lines were removed)."""
-    gone = removals(docs, threshold, least, block).withColumnRenamed("document", "_ld_document")
+def near_copies(docs: DataFrame, gone: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
+    """document, repeats (places of lines repeated within it) of near copies of documents that stay.
+
+    Of documents that would lose over max_loss, each is compared with the document that keeps most
+    of what it would lose, both as they leave this stage; the other must lose less itself.
+    """
+    sizes = F.aggregate(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    wholes = docs.select(_key(docs).alias("document"), "text", sizes.alias("whole"))
+    small_batches(docs.sparkSession)
+    heavy = wholes.join(gone, "document").filter(F.col("lost") > max_loss * F.col("whole")).select("document", "text", "spots")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, again, left = [], [], []
+            for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
+                held, seen, repeats = {}, set(), set()
+                for spot in sorted(spots, key=lambda p: p["place"]):
+                    line_class = spot["keeper"], spot["keeper_place"]
+                    held[spot["keeper"]] = held.get(spot["keeper"], 0) + spot["size"]
+                    # the first of a class that another document keeps stands here for the document
+                    if line_class in seen:
+                        repeats.add(spot["place"])
+                    seen.add(line_class)
+                best.append(min(held, key=lambda k: (-held[k], k)))
+                again.append(sorted(repeats))
+                left.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in repeats))
+            yield pa.RecordBatch.from_arrays([batch.column("document"), pa.array(best, pa.int64()), pa.array(again, pa.list_(pa.int32())), pa.array(left, pa.string())], names=["document", "best", "repeats", "own"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column("own").to_pylist(), batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True)
+            good = []
+            for own, text, removed in sides:
+                out = set(removed or ())
+                kept = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
+                good.append(jaccard(shingle_set(own), shingle_set(kept)) >= SIMILAR)
+            yield batch.select(["document", "repeats"]).filter(pa.array(good, pa.bool_()))
+
+    judged = heavy.mapInArrow(judge, "document long, best long, repeats array<int>, own string").filter("best <> document")
+    judged = written(judged.dropDuplicates(["document"]), "heavy")
+    others = judged.select(F.col("best").alias("document")).distinct().join(judged.select("document"), "document", "left_anti")
+    others = wholes.join(others, "document").join(gone.select("document", "removed"), "document", "left").groupBy("document").agg(F.any_value("text").alias("text"), F.any_value("removed").alias("removed"))
+    met = judged.join(written(others, "originals").withColumnRenamed("document", "best"), "best")
+    return written(met.select("document", "repeats", "own", "text", "removed").mapInArrow(alike, "document long, repeats array<int>"), "near_copies")
+
+
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY, block: int = BLOCK, max_loss: float = MAX_LOSS, told: str = "_lines", prove: bool = False) -> DataFrame:
+    """docs with the text cleaned (with prove, of all documents but proved near copies), and a struct (named by told, which replaces a column of that name) of n_lines, duplicates, kept_in and cut (whether lines were removed)."""
+    gone = removals(docs, threshold, least, block)
+    if prove:
+        gone = written(gone, "removals")
+        copies = near_copies(docs, gone, max_loss).withColumnRenamed("document", "_copy")
+        gone = gone.join(copies, F.col("document") == F.col("_copy"), "left").withColumn("out", F.coalesce("repeats", "removed"))
+    else:
+        gone = gone.withColumn("out", F.col("removed"))
+    gone = gone.withColumnRenamed("document", "_ld_document")
     # measured before the join: who needs no text gets none shuffled
     sizes = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")), F.length)
     measured = docs.withColumns({"_ld_document": _key(docs), "_ld_n": F.coalesce(F.size(sizes), F.lit(0)), "_ld_whole": F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)})
-    joined = measured.join(gone.select("_ld_document", F.struct("removed", "lost", "kept_in").alias("_ld_gone")), "_ld_document", "left")
-    cut = F.coalesce(F.col("_ld_gone.lost") <= max_loss * F.col("_ld_whole"), F.lit(False))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_ld_gone.removed", i)), "\n")
+    joined = measured.join(gone.select("_ld_document", F.struct("removed", "lost", "kept_in", "out").alias("_ld_gone")), "_ld_document", "left")
+    cut = F.coalesce(F.size("_ld_gone.out") > 0 if prove else F.col("_ld_gone.lost") <= max_loss * F.col("_ld_whole"), F.lit(False))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_ld_gone.out", i)), "\n")
     struct = F.struct(
         F.col("_ld_n").cast("long").alias("n_lines"),
         F.coalesce("_ld_gone.removed", F.array().cast("array<int>")).alias("duplicates"),
@@ -292,7 +350,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """docs with cleaned texts and nothing else changed but n_chars, where that column holds their lengths."""
     # columns that the operator names itself step aside
     aside = {c: f"_ld_kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    found = dedup_lines(docs.withColumnsRenamed(aside))
+    found = dedup_lines(docs.withColumnsRenamed(aside), prove=True)
     out = []
     for c in docs.columns:
         own = F.col(aside.get(c, c))
@@ -305,7 +363,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, which of them are removed as duplicates, and the documents that keep them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = dedup_lines(docs)
+    found = dedup_lines(docs, prove=True)
     return found.select(
         "doc_id",
         F.col("_lines.n_lines").alias("n_lines"),
