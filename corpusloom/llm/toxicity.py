@@ -3,7 +3,9 @@
 score = sigmoid(b + sum of w over the terms of a text + sum over pairs of terms of v.v'): the
 pair products learn what two terms mean together (an insult and whom it is aimed at), which no
 sum of term weights holds. Terms are a text's distinct words, hashed; of these the model keeps
-the ones whose document frequency differs most between the labels.
+the ones whose document frequency differs most between the labels, and of the PAIR_TERMS most
+varied ones those that differ in pairs more than alone. What counts as a difference follows from
+the number of terms or pairs compared (screen), not from that of the labels.
 
 The model is fitted on the driver from at most MAX_ROWS labelled documents (those with the
 smallest hashes of doc_id, whatever the input's size) and broadcast: its size is bounded by
@@ -33,8 +35,10 @@ from corpusloom.llm.common import read, small_batches, words_of, written
 BUCKETS = 1 << 18
 MAX_ROWS = 12_000
 MAX_TERMS = 2048
-#: A term is kept if the difference of its frequencies is so many standard errors, and so many documents have it.
-MIN_Z, MIN_DOCS = 6.0, 3
+#: A term (or pair) is kept if so many documents have it.
+MIN_DOCS = 3
+#: Terms whose pairs are compared.
+PAIR_TERMS = 512
 FACTORS, STEPS, RATE, SHRINK = 8, 250, 0.05, 1e-3
 #: Logit of a text when nothing is known of the labels.
 PRIOR = -3.0
@@ -77,6 +81,30 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
+def screen(n: int) -> float:
+    """The standard errors that the largest of n differences without cause is expected to reach."""
+    return float(np.sqrt(2 * np.log(max(n, 2))))
+
+
+def errors_apart(n0: np.ndarray, n1: np.ndarray, rows0: int, rows1: int) -> np.ndarray:
+    """The difference of two frequencies in standard errors."""
+    pooled = (n0 + n1) / (rows0 + rows1)
+    return (n1 / rows1 - n0 / rows0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / rows0 + 1 / rows1))
+
+
+def paired(present: np.ndarray, labels: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Columns of present (text, term) that with another one differ more than both do alone (z), the most telling first."""
+    n0, n1 = (present[labels == k].astype(np.float32) for k in (0, 1))
+    both0, both1 = n0.T @ n0, n1.T @ n1
+    joint = np.abs(errors_apart(both0.astype(np.float64), both1.astype(np.float64), len(n0), len(n1)))
+    alone = np.abs(z)
+    m = len(z)
+    told = (both0 + both1 >= MIN_DOCS) & (joint >= screen(m * (m - 1) // 2)) & (joint > np.maximum(alone[:, None], alone[None, :]) + 1)
+    np.fill_diagonal(told, False)
+    most = np.where(told, joint, 0).max(axis=1, initial=0)
+    return np.lexsort((np.arange(m), -most))[: int((most > 0).sum())]
+
+
 def train(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, n_terms: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Fit bias, linear weights and factors by Adam on the whole (bounded) sample."""
     n, rng = len(labels), np.random.default_rng(7)
@@ -128,10 +156,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine
         return Machine(terms, PRIOR if not rows1 else -PRIOR, np.zeros(1), np.zeros((1, FACTORS)))
     buckets = np.array(list(table), dtype=np.int64)
     n0, n1 = (np.array(list(table.values()), dtype=np.float64).T if table else np.zeros((2, 0)))
-    pooled = (n0 + n1) / (rows0 + rows1)
-    z = (n1 / rows1 - n0 / rows0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / rows0 + 1 / rows1))
+    z = errors_apart(n0, n1, rows0, rows1)
+    enough = n0 + n1 >= MIN_DOCS
     ranked = np.lexsort((buckets, -np.abs(z)))
-    chosen = [i for i in ranked[:MAX_TERMS] if abs(z[i]) >= MIN_Z and n0[i] + n1[i] >= MIN_DOCS]
+    chosen = [i for i in ranked if enough[i] and abs(z[i]) >= screen(int(enough.sum()))][:MAX_TERMS]
+    share = (n0 + n1) / (rows0 + rows1)
+    varied = np.lexsort((buckets, -share * (1 - share)))
+    varied = varied[enough[varied]][:PAIR_TERMS]
+    places = np.full(BUCKETS, -1, dtype=np.int64)
+    places[buckets[varied]] = np.arange(len(varied))
+    placed = docs.sparkSession.sparkContext.broadcast(places)
+
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for text in batch.column("text").to_pylist():
+                row = np.zeros(PAIR_TERMS, dtype=bool)
+                found = placed.value[buckets_of(text)]
+                row[found[found >= 0]] = True
+                bits.append(np.packbits(row).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(bits, pa.binary())], names=["label", "bits"])
+
+    held = texts.mapInArrow(presence, "label int, bits binary").collect()  # at most max_rows rows of PAIR_TERMS bits
+    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in held), np.uint8).reshape(len(held), -1)
+    present = np.unpackbits(bits, axis=1)[:, : len(varied)]
+    taken = set(chosen)
+    more = [varied[i] for i in paired(present, np.array([r["label"] for r in held]), z[varied])]
+    chosen += [i for i in more if i not in taken][: MAX_TERMS - len(chosen)]
     terms[buckets[chosen]] = np.arange(len(chosen))
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
