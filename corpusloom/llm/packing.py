@@ -2,19 +2,24 @@
 
 Every source is a queue of tokens. A round visits the queues in order of their names; a visit
 adds the queue's quantum (its target share of a window, in 1/65536 tokens) to its deficit, sends
-the whole tokens of the deficit and carries the rest to the next round. The rounds' output is
-one stream, cut into windows of equal length, so that every window but the last is full and
-holds each source's target share to within two tokens for each queue still open.
-
-A queue's deficit after r rounds is the fraction of r times its quantum: nothing has to be run
-in order. From a token's place in its queue follow its round and its place in the stream, so
+the deficit in whole multiples of VISIT tokens and carries the rest on, over windows and
+partitions. Queues start with deficits spread evenly over one VISIT, so that equal ones do not
+all send in the same rounds. The rounds' output is one stream, cut into windows of equal length:
+every window but the last is full and holds each source's target share to within two VISITs
+while the queues are open.
+
+A queue has sent (r * quantum + first deficit) in whole VISITs after r rounds: nothing has to be
+run in order. From a token's place in its queue follow its round and its place in the stream, so
 tasks carry deficits over windows and partitions by arithmetic alone. Tokenised rows are
 written once; a queue's order is (task, place in the task), and only sums for each task and
 source are ever added up across tasks.
 
+A source whose target is under a 1/MAX_QUEUES part of all has less than a token for four windows:
+such sources follow one another, by name, in one queue that has the sum of their targets.
+
 Null texts count as empty: one end token. A null source is a queue of its own. Rows with the
-same doc_id are packed one by one. Empty tables give no pieces. Columns beyond doc_id, text and
-source are ignored; without a source column all rows share one queue.
+same doc_id are packed one by one, null doc_ids stay null. Empty tables give no pieces. Columns
+beyond doc_id, text and source are ignored; without a source column all rows share one queue.
 """
 
 from __future__ import annotations
@@ -24,16 +29,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import file_order, read, small_batches, written
 
 SEQUENCE = 1024
+#: Tokens that a visit sends, or a multiple: pieces are not cut finer than that but at ends of documents and windows.
+VISIT = 64
 #: Quanta are whole numbers of 1/2**QUANTUM_BITS tokens, so that rounds stay within 64 bits up to 10**14 tokens.
 QUANTUM_BITS = 16
-#: More sources than this share queues by hash: the vector of queues in every task stays small.
+#: Sources with a lesser part than one of so many have no queue of their own: the vector of queues in every task stays small.
 MAX_QUEUES = 4096
+#: Cells of [round, queue] that are computed at a time.
+CELLS = 1 << 20
 END = 0
 
 
@@ -80,80 +89,22 @@ def _fast_coder(code):
 
 
 class Coder:
-    """Ids of whole texts as bytes, those of the tokenizer, with the ids of words kept.
+    """Ids of whole texts as little-endian bytes, those of the tokenizer and then the end token.
 
-    Plain byte-level BPE codes a text word by word where every white space is one space or one
-    line feed: a word takes the space before it along, a line feed stands alone. Words are
-    merged by a faster coder of the same vocabulary. Other texts are coded whole, and so is
-    every text by another kind of tokenizer. Kept words come in two generations of about KEEP
-    for each worker.
+    Where the tokenizer is plain byte-level BPE, a faster coder of the same vocabulary codes them.
     """
 
-    KEEP = 120_000
-
     def __init__(self, path: str):
         self.code = _tokenizer(path)
         self.fast = _fast_coder(self.code)
         self.type = np.dtype("<u2" if self.code.get_vocab_size() <= 1 << 16 else "<u4")
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.old_heads: dict[str, bytes] = {}
-        self.old_tails: dict[str, bytes] = {}
-        self.feed = self._whole("\n")
-        self.end = np.array([END], dtype=self.type).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.code.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.type).tobytes()
-
-    def _words(self, words: list[str], before: str) -> list[bytes]:
-        """Ids of each word, coded together as lines."""
-        ids = np.array(self.fast.encode_ordinary("\n".join([before + w for w in words])), dtype=self.type)
-        raw, size = ids.tobytes(), self.type.itemsize
-        stops = (np.flatnonzero(ids == np.frombuffer(self.feed, self.type)[0]) * size).tolist()
-        return [raw[a:b] for a, b in zip([0, *(s + size for s in stops)], [*stops, len(raw)], strict=True)]
-
-    def _learn(self, kept: dict[str, bytes], old: dict[str, bytes], words: set[str], before: str) -> None:
-        """Words move from the old generation to the new one when they come again; the rest are coded."""
-        if len(kept) > self.KEEP:
-            old.clear()
-            old.update(kept)
-            kept.clear()
-        new = []
-        for w in words.difference(kept):
-            if w in old:
-                kept[w] = old[w]
-            else:
-                new.append(w)
-        for at in range(0, len(new), 4096):
-            kept.update(zip(new[at : at + 4096], self._words(new[at : at + 4096], before), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
-            return [np.array([*x.ids, END], dtype=self.type).tobytes() for x in self.code.encode_batch_fast(texts, add_special_tokens=False)]
-        lines: list[list[tuple[str, list[str]]] | None] = []
-        heads, tails = set(), set()
-        for text in texts:
-            # one space or one line feed between words, and no other white space
-            if text and text.split() != text.replace("\n", " ").split(" "):
-                lines.append(None)
-                continue
-            split = []
-            for line in text.split("\n") if text else ():
-                head, *tail = line.split(" ")
-                heads.add(head)
-                tails.update(tail)
-                split.append((head, tail))
-            lines.append(split)
-        self._learn(self.heads, self.old_heads, heads, "")
-        self._learn(self.tails, self.old_tails, tails, " ")
-        get, out = self.tails.__getitem__, []
-        for text, split in zip(texts, lines, strict=True):
-            if split is None:
-                out.append(self._whole(text) + self.end)
-            else:
-                out.append(self.feed.join([self.heads[head] + b"".join(map(get, tail)) for head, tail in split]) + self.end)
-        return out
+            ids = (x.ids for x in self.code.encode_batch_fast(texts, add_special_tokens=False))
+        else:
+            ids = map(self.fast.encode_ordinary, texts)
+        return [np.array([*x, END], dtype=self.type).tobytes() for x in ids]
 
 
 @lru_cache(maxsize=1)
@@ -197,32 +148,48 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
 class Rounds:
     """Where the tokens of each queue go: closed form of deficit round-robin over all rounds."""
 
-    def __init__(self, tokens: list[int], weights: list[float]):
-        whole = float(sum(weights)) or 1.0
+    def __init__(self, tokens: list[int], weights: list[float], visit: int = VISIT):
+        whole, n = float(sum(weights)) or 1.0, max(len(tokens), 1)
+        self.visit = visit
         self.tokens = np.array(tokens, dtype=np.int64)
         self.quanta = np.array([max(1, round(SEQUENCE * w / whole * (1 << QUANTUM_BITS))) for w in weights], dtype=np.int64)
-
-    def sent(self, rounds: np.ndarray) -> np.ndarray:
-        """Tokens each queue has sent before each of these rounds: [round, queue]."""
-        return np.minimum((rounds[:, None] * self.quanta[None, :]) >> QUANTUM_BITS, self.tokens[None, :])
+        self.first = (np.arange(len(tokens), dtype=np.int64) * visit << QUANTUM_BITS) // n
+
+    def sent(self, rounds: np.ndarray, queue: int) -> np.ndarray:
+        """Tokens that a queue has sent before each of these rounds."""
+        due = (rounds * self.quanta[queue] + self.first[queue]) >> QUANTUM_BITS
+        return np.minimum(due // self.visit * self.visit, self.tokens[queue])
+
+    def before(self, rounds: np.ndarray, queue: int) -> np.ndarray:
+        """Tokens that all queues have sent when a queue is visited in each of these rounds."""
+        out = np.empty(len(rounds), dtype=np.int64)
+        step = max(1, CELLS // len(self.tokens))
+        ahead = (np.arange(len(self.tokens)) < queue).astype(np.int64)  # they have had their visit of the round
+        for at in range(0, len(rounds), step):
+            due = ((rounds[at : at + step, None] + ahead) * self.quanta + self.first) >> QUANTUM_BITS
+            out[at : at + step] = np.minimum(due // self.visit * self.visit, self.tokens).sum(axis=1)
+        return out
 
     def round_of(self, queue: int, token: np.ndarray) -> np.ndarray:
         """The round that sends a token of a queue."""
-        return ((token + 1 << QUANTUM_BITS) + self.quanta[queue] - 1) // self.quanta[queue] - 1
+        due = ((token // self.visit + 1) * self.visit << QUANTUM_BITS) - self.first[queue]
+        return (due + self.quanta[queue] - 1) // self.quanta[queue] - 1
 
     def cut(self, queue: int, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
         """Cut runs of a queue's tokens where rounds or windows end: (run, first token, length, place in the stream)."""
-        first, last = self.round_of(queue, start), self.round_of(queue, start + length - 1)
-        run = np.repeat(np.arange(len(start)), last - first + 1)
-        rounds = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]) if len(start) else first
+        # the parts of a run that VISITs cut, then one piece for each round
+        visits = (start + length - 1) // self.visit - start // self.visit + 1
+        run = np.repeat(np.arange(len(start)), visits)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(visits) - visits, visits)
+        rounds = self.round_of(queue, (start[run] // self.visit + step) * self.visit)
+        new = np.ones(len(run), dtype=bool)
+        new[1:] = (run[1:] != run[:-1]) | (rounds[1:] != rounds[:-1])
+        run, rounds = run[new], rounds[new]
         distinct, inverse = np.unique(rounds, return_inverse=True)
-        before, after = self.sent(distinct), self.sent(distinct + 1)
-        # queues in front have sent this round's tokens, the others have not
-        base = after[:, :queue].sum(axis=1) + before[:, queue:].sum(axis=1)
-        low = np.maximum(before[inverse, queue], start[run])
-        high = np.minimum(after[inverse, queue], (start + length)[run])
-        place = base[inverse] + low - before[inverse, queue]
-        run, low, high, place = (x[high > low] for x in (run, low, high, place))
+        before, after = self.sent(distinct, queue), self.sent(distinct + 1, queue)
+        low = np.maximum(before[inverse], start[run])
+        high = np.minimum(after[inverse], (start + length)[run])
+        place = self.before(distinct, queue)[inverse] + low - before[inverse]
         # a round's tokens may cross into the next window, or several
         windows = (place + high - low - 1) // SEQUENCE - place // SEQUENCE + 1
         again = np.repeat(np.arange(len(run)), windows)
@@ -232,36 +199,51 @@ class Rounds:
         return run[again], low[again] + begin - place[again], end - begin, begin
 
 
-def pack(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | None = None, with_ids: bool = True) -> DataFrame:
+def queues(rows: DataFrame, targets: dict[str | None, float] | None, most: int) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """part, queue, number (of the queue that a source is in) and queue_start for each task and source, and each number's (tokens, weight)."""
+    spark = rows.sparkSession
+    starts = written(file_order("part", ["queue"], rows, "n", "queue_start"), "queue_starts")
+    totals = rows.groupBy("queue").agg(F.sum("n").alias("n"))
+    if targets is None:
+        totals = totals.withColumn("weight", F.col("n").cast("double"))
+    else:
+        told = spark.createDataFrame([(q, float(w)) for q, w in targets.items()] or [(None, 1.0)], "told string, weight double")
+        least = min(targets.values(), default=1.0)
+        totals = totals.join(told, F.col("queue").eqNullSafe(F.col("told")), "left").select("queue", "n", F.coalesce("weight", F.lit(float(least))).alias("weight"))
+    totals = written(totals, "queue_totals")
+    whole = totals.agg(F.sum("weight")).first()[0] or 1.0
+    own = F.col("weight") * most >= whole
+    large = sorted(totals.filter(own).collect(), key=lambda r: (r["queue"] is not None, r["queue"]))  # at most `most` rows
+    small = totals.filter(~own)
+    rest = small.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    numbers = spark.createDataFrame([(r["queue"], i, 0) for i, r in enumerate(large)], "source string, number int, base long")
+    # one row for each small source, not for each document
+    ahead = Window.orderBy(F.col("queue").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    numbers = numbers.unionByName(small.select(F.col("queue").alias("source"), F.lit(len(large)).alias("number"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("base")))
+    placed = starts.join(numbers, F.col("queue").eqNullSafe(F.col("source")))
+    placed = placed.select("part", "queue", "number", (F.col("queue_start") + F.col("base")).alias("queue_start"))
+    return placed, [(r["n"], r["weight"]) for r in large] + ([tuple(rest)] if rest[0] else [])
+
+
+def pack(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | None = None, with_ids: bool = True, visit: int = VISIT, max_queues: int = MAX_QUEUES) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_queue, ids.
 
     targets: token shares by source, by default each source's share of the corpus; all rows are
     packed in any case, so a queue that runs dry early leaves its share to the others. Sources
     without a target get the smallest one. ids (little-endian, 4 bytes each) only with_ids.
     """
-    spark = docs.sparkSession
-    if "source" in docs.columns:
-        names = docs.select(F.col("source").cast("string").alias("source")).distinct().limit(MAX_QUEUES + 1).count()
-        if names > MAX_QUEUES:
-            docs = docs.withColumn("source", F.concat(F.lit("bucket "), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")))
     rows = written(tokenise(docs, tokenizer), "tokens")
-    starts = written(file_order("part", ["queue"], rows, "n", "queue_start"), "queues")
-    totals = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
-    order = sorted(totals, key=lambda q: (q is not None, q))
-    least = min((targets or {None: 1.0}).values())
-    weights = [float(totals[q]) if targets is None else float(targets.get(q, least)) for q in order]
-    number = {q: i for i, q in enumerate(order)}
-    plan = spark.sparkContext.broadcast(Rounds([totals[q] for q in order], weights))
+    starts, known = queues(rows, targets, max_queues)
+    plan = docs.sparkSession.sparkContext.broadcast(Rounds([n for n, _ in known], [w for _, w in known], visit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
         for batch in batches:
-            queue = np.array([number[q] for q in batch.column("queue").to_pylist()], dtype=np.int64)
-            doc, counts, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "at"))
-            ids = batch.column("ids").to_pylist()
-            for q in np.unique(queue):
-                mine = np.flatnonzero(queue == q)
+            number, counts, at = (batch.column(c).to_numpy() for c in ("number", "n", "at"))
+            ids = batch.column("ids")
+            for q in np.unique(number):
+                mine = np.flatnonzero(number == q)
                 for part in np.array_split(mine, max(1, int(counts[mine].sum()) // 4_000_000)):
                     run_, first, length, place = plan.value.cut(int(q), at[part], counts[part])
                     row = part[run_]
@@ -271,18 +253,20 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | Non
                     last, wide = -1, b""
                     for i, (r, s, n) in enumerate(zip(row.tolist(), start.tolist(), length.tolist(), strict=True)):
                         if r != last:
-                            last, raw = r, ids[r]
+                            last, raw = r, ids[r].as_py()
                             wide = memoryview(raw if len(raw) == 4 * counts[r] else np.frombuffer(raw, dtype=np.uint16).astype("<u4").tobytes())
                         piece = wide[4 * s : 4 * (s + n)]
                         sums[i] = crc32(piece)
                         pieces.append(bytes(piece) if with_ids else None)
+                    # ids of documents by row, never by numpy: one null would turn the others to floats
+                    owner = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[row], pa.int64(), from_pandas=True), pa.array(start), pa.array(length), pa.array(sums), pa.array(counts[row]), pa.array(place // SEQUENCE), pa.array(place % SEQUENCE), pa.array([order[q]] * len(row), pa.string()), pa.array(pieces, pa.binary())],
+                        [batch.column("doc_id").take(owner), pa.array(start), pa.array(length), pa.array(sums), pa.array(counts[row]), pa.array(place // SEQUENCE), pa.array(place % SEQUENCE), batch.column("queue").take(owner), pa.array(pieces, pa.binary())],
                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue", "ids"],
                     )
 
     placed = rows.join(starts.withColumnsRenamed({"part": "part_", "queue": "queue_"}), (F.col("part") == F.col("part_")) & F.col("queue").eqNullSafe(F.col("queue_")))
-    placed = placed.select("queue", "doc_id", "ids", "n", (F.col("queue_start") + F.col("place")).alias("at"))
+    placed = placed.select("queue", "number", "doc_id", "ids", "n", (F.col("queue_start") + F.col("place")).alias("at"))
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source_queue string, ids binary")
 
 

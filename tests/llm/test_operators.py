@@ -49,7 +49,7 @@ def test_packing_holds_targets(spark):
     rng = random.Random(1)
     table = [(i, " ".join(rng.choices(["sun", "moon", "sky"], k=400)), "abc"[i % 3]) for i in range(120)]
     df = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(5)
-    found = packing.pack(df, BPE, targets={"a": 0.5, "b": 0.3, "c": 0.2}, with_ids=False).collect()
+    found = packing.pack(df, BPE, targets={"a": 0.5, "b": 0.3, "c": 0.2}, with_ids=False, visit=1).collect()
     check_packing(found, {i: t for i, t, _ in table})
     by = collections.defaultdict(collections.Counter)
     for r in found:
@@ -60,16 +60,18 @@ def test_packing_holds_targets(spark):
             assert abs(window[queue] - 1024 * share) <= 6
 
 
-def test_rounds_equal_a_run_in_order():
-    plan = packing.Rounds([5000, 777, 123], [3.0, 1.0, 0.5])
+@pytest.mark.parametrize("visit", [1, 7, 64])
+def test_rounds_equal_a_run_in_order(visit):
+    plan = packing.Rounds([5000, 777, 123], [3.0, 1.0, 0.5], visit)
     quanta = plan.quanta.tolist()
-    deficit, left, stream = [0, 0, 0], [5000, 777, 123], []
+    deficit, left, stream = plan.first.tolist(), [5000, 777, 123], []
     sent = [0, 0, 0]
     while any(left):
         for q in range(3):
             deficit[q] += quanta[q]
-            n = min(deficit[q] >> packing.QUANTUM_BITS, left[q])
-            deficit[q] -= (deficit[q] >> packing.QUANTUM_BITS) << packing.QUANTUM_BITS
+            due = (deficit[q] >> packing.QUANTUM_BITS) // visit * visit
+            deficit[q] -= due << packing.QUANTUM_BITS
+            n = min(due, left[q])
             stream += [(q, sent[q] + i) for i in range(n)]
             sent[q] += n
             left[q] -= n
