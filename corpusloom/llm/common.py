@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words in the contracts, as a Java and RE2 class body.
 SPACE = r"\x20\x09-\x0D"
-#: Rows and bytes of one Arrow batch: long texts must not add up to a batch of gigabytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Rows that become Python objects at a time; Spark bounds the bytes of a batch.
+BATCH_ROWS = 1000
 
 
 #: ASCII upper case becomes lower case, other ASCII characters but digits and letters become spaces.
@@ -28,35 +31,68 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in runs of rows that fit in a Python worker as objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where they are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Paths of written tables by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables written() has left: with this number, a later one can replace what led to it."""
+    return len(_paths(spark))
+
+
+def written(df: DataFrame, name: str, since: int | None = None) -> DataFrame:
     """Write a table in the shared folder and read it again: lineage ends, sizes are known to the planner.
 
-    Spark deletes shuffle files once the driver's garbage is collected, which may be long after
-    the disks are full: what the write has left behind is let go at once.
+    Tables written since a mark are deleted once this one is there. What is left goes with the
+    session (drop_written, which also runs when Python ends).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if since is not None:
+        drop_written(spark, since)
+    _paths(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written since a mark; DataFrames that read them are of no use then."""
+    jvm, conf, paths = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _paths(spark)
+    for path in paths[since:]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    del paths[since:]
+
+
+@atexit.register
+def _leave() -> None:
+    spark = SparkSession.getActiveSession() if _WRITTEN else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_written(spark)
+
+
 def file_order(part: str, keys: list[str], df: DataFrame, size: str, start: str) -> DataFrame:
     """For each (part, *keys) the sum of `size` over smaller parts with the same keys, as `start`.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import mark, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     one tree go; an edge set that is empty ends it. All state is written tables: rounds keep no
     lineage, nothing is collected, and hot nodes meet in pre-aggregated minima.
     """
+    began = mark(edges.sparkSession)
     live = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     live = written(live, "edges")
     parent = None
@@ -31,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         left = _through(_through(live, "a", hook), "b", hook)
         left = left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         live = written(left, "edges")
-    return parent if parent is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    if parent is None:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    return written(parent, "components", began)
 
 
 def _through(df: DataFrame, column: str, hook: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import read, small_batches, words_of, written
+from corpusloom.llm.common import read, slices, words_of, written
 
 WINDOW = 13
 #: Text of one block of items; its index takes about ten times as much in each worker.
@@ -96,14 +96,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[objec
 
 def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """In how many of all documents each word of a (bounded) vocabulary occurs."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
         counts: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(shared.value.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -118,7 +117,6 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     With several blocks the rows are numbered in a written table and their hits merged by number.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text"))]
     rows = docs.select(*columns)
     blocks = _blocks(benchmark, block_bytes)
@@ -131,7 +129,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         index = spark.sparkContext.broadcast(Index(items, document_frequency(source, vocabulary), window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 n_words, n_hit, found, starts, stops = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     words = words_of(text)

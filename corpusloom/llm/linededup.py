@@ -1,47 +1,62 @@
 """Line dedup: an edit-distance join of lines by segments and substrings.
 
-Equal lines collapse first, in one aggregation by two 64-bit hashes. Each distinct line of at
-least MIN_FUZZY characters is cut into threshold + 1 segments; a line within the threshold must
-hold one of them unchanged, near its place. The line probes the segments of all lengths from
-its own down to threshold less, at the few places that the multi-match-aware bounds leave. Lines
-that meet on a segment are verified by a banded bit-parallel edit distance, many pairs at a time.
-What more than BLOCK lines share is dealt out in pairs of blocks, and each task reports a
-spanning forest of its links, so a hot segment neither meets in one task nor yields all pairs.
-
-Of each class of linked lines the first (by doc_id, then place) stays; others are removed. A
-document that would lose more than MAX_LOSS of its characters may be a copy of another document:
-op2_line_dedup and cleaned leave it to the document-level stages only if it is proved a near copy
-(by nearcopies' shingles and similarity) of a document that stays, as both are after this stage.
-Lines repeated within it go even then. dedup_lines alone leaves all such documents whole unless
-it is told the proved ones.
-
-Lines are split at line feeds; blank lines are no lines and stay. Shorter lines are compared for
-equality only. Null texts have no lines. Rows equal in doc_id and text are one document. Empty
-tables give empty results. Extra columns are kept as they are.
+Two lines are near equal if one edit for each CHARS_PER_EDIT characters of the shorter one, and
+at most THRESHOLD edits, make them the same; lines of fewer characters must be equal. A line is
+cut into as many segments as edits are allowed, plus one; a line within the threshold must hold
+one of them unchanged, near its place. The line probes the segments of all lengths from its own
+down to threshold less, at the few places that the multi-match-aware bounds leave. Lines that
+meet on a segment are verified by a banded bit-parallel edit distance, many pairs at a time.
+
+Only hashes are aggregated: line counts by two 64-bit hashes, segments by one 64-bit key with
+the least and greatest line of each, so a hot line or segment is combined before it is shuffled.
+The texts of lines are fetched again for those that met another line. What more than BLOCK lines
+share is dealt out in pairs of blocks, and each task reports a spanning forest of its links, so
+a hot segment neither meets in one task nor yields all pairs.
+
+Of each class of linked lines the first (by doc_id, then place) stays; others are removed,
+whatever a document loses. Callers may have proved near copies of a document that stays passed
+whole (`spare`), for a stage that removes documents.
+
+Lines are split at line feeds; blank lines are no lines and stay. Null texts have no lines. Rows
+equal in doc_id and text are one document. Empty tables give empty results. Extra columns are
+kept as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, read, small_batches, written
+from corpusloom.llm.common import SPACE, mark, read, slices, written
 from corpusloom.llm.components import components
 from corpusloom.llm.nearcopies import SIMILAR, jaccard, shingle_set
 from corpusloom.llm.simhash import forest
 
-THRESHOLD, MIN_FUZZY, MAX_LOSS = 2, 24, 0.5
+THRESHOLD, CHARS_PER_EDIT = 2, 12
+#: Shortest line that is compared by edits.
+LEAST = CHARS_PER_EDIT
+#: Of documents that lose more than this share, `spare` asks whether they are near copies.
+HEAVY = 0.5
 BLOCK = 2048
-#: Ids (8 bytes each) that are broadcast at most; more are met in a shuffled join.
-BROADCAST_IDS = 2_000_000
+#: Rows of a few longs that are broadcast at most; more are met in a shuffled join.
+BROADCAST_IDS = 1_000_000
 #: Pairs and cells of one verification.
 PAIRS, CELLS = 8192, 1 << 21
 #: Buckets of the character counts that rule pairs out before verification.
 SIGNS = 32
+#: Characters whose substrings are hashed together, and line hashes a task keeps so as not to repeat their keys.
+CHUNK, SEEN = 1 << 20, 200_000
+_BLANK = " \t\n\x0b\x0c\r"
+
+
+def allowed(length, threshold: int = THRESHOLD):
+    """The edits that a pair of lines may be apart, by the length of the shorter one."""
+    return np.minimum(threshold, np.asarray(length) // CHARS_PER_EDIT)
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -52,19 +67,106 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
 
 
-def places(length: int, threshold: int, least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def places(length: int, threshold: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """What a line of this length files and what it probes: (key seed, start, stop) of its substrings."""
-    own = [(length * 64 + i, a, a + n) for i, (a, n) in enumerate(segments(length, threshold))]
+    own = [(length * 64 + i, a, a + n) for i, (a, n) in enumerate(segments(length, int(allowed(length, threshold))))]
     probes = []
-    for other in range(max(least, length - threshold), length + 1):
-        shift = length - other
-        for i, (a, n) in enumerate(segments(other, threshold)):
-            low = max(a - i, a + shift - (threshold - i), 0)
-            high = min(a + i, a + shift + (threshold - i), length - n)
+    for other in range(max(LEAST, length - threshold), length + 1):
+        shift, most = length - other, int(allowed(other, threshold))
+        if shift > most:
+            continue
+        for i, (a, n) in enumerate(segments(other, most)):
+            low = max(a - i, a + shift - (most - i), 0)
+            high = min(a + i, a + shift + (most - i), length - n)
             probes += [(other * 64 + i, p, p + n) for p in range(low, high + 1) if shift or p != a]
     return own, probes
 
 
+#: Odd multipliers of the substring hash. Two texts with one hash only cost a comparison.
+_BASE, _MIX = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    up, down = (np.full(CHUNK + 1, b, dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _mixed(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    codes *= np.uint64(_MIX)
+    return codes ^ (codes >> np.uint64(29))
+
+
+def _finished(sums: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    out = sums * np.uint64(_MIX) + seeds.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(_BASE)
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+def _long_line(line: str, plan: np.ndarray) -> np.ndarray:
+    """Keys of a line longer than CHUNK, piece by piece; equal to those of prefix sums."""
+    up, _ = _powers()
+    sums = np.zeros(len(plan), dtype=np.uint64)
+    for i, (_, a, b) in enumerate(plan.tolist()):
+        scale = np.ones(1, dtype=np.uint64)
+        for at in range(a, b, CHUNK):
+            part = _mixed(line[at : min(b, at + CHUNK)])
+            sums[i : i + 1] += scale * (part * up[: len(part)]).sum(dtype=np.uint64)
+            scale *= up[CHUNK]
+    return _finished(sums, plan[:, 0])
+
+
+class Keys:
+    """Keys of the substrings that lines file and probe, by prefix sums over many lines at once."""
+
+    def __init__(self, threshold: int = THRESHOLD):
+        self.plan = lru_cache(maxsize=4096)(lambda length: self._plan(length, threshold))
+
+    @staticmethod
+    def _plan(length: int, threshold: int) -> tuple[np.ndarray, int]:
+        own, probes = places(length, threshold)
+        return np.array(own + probes, dtype=np.int64), len(own)
+
+    def __call__(self, lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(key, number of the line, whether the line files it) of all substrings of the lines."""
+        order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+        at = 0
+        while at < len(order):
+            stop, size = at + 1, len(lines[order[at]])
+            if size > CHUNK:
+                plan, n = self.plan(size)
+                yield _long_line(lines[order[at]], plan), np.full(len(plan), order[at]), np.arange(len(plan)) < n
+                at = stop
+                continue
+            while stop < len(order) and size + len(lines[order[stop]]) <= CHUNK:
+                size += len(lines[order[stop]])
+                stop += 1
+            yield self._together(lines, np.array(order[at:stop]))
+            at = stop
+
+    def _together(self, lines: list[str], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        up, down = _powers()
+        text = "".join([lines[i] for i in rows])
+        sums = np.zeros(len(text) + 1, dtype=np.uint64)
+        np.cumsum(_mixed(text) * up[: len(text)], out=sums[1:])
+        lengths = np.array([len(lines[i]) for i in rows])
+        starts = np.cumsum(lengths) - lengths
+        keys, owners, filed = [], [], []
+        sizes, firsts = np.unique(lengths, return_index=True)
+        for length, first, stop in zip(sizes.tolist(), firsts.tolist(), [*firsts.tolist()[1:], len(rows)], strict=True):
+            mine = np.arange(first, stop)
+            plan, n = self.plan(length)
+            a, b = starts[mine][:, None] + plan[None, :, 1], starts[mine][:, None] + plan[None, :, 2]
+            keys.append(_finished((sums[b] - sums[a]) * down[a], plan[:, 0]).ravel())
+            owners.append(np.repeat(rows[mine], len(plan)))
+            filed.append(np.tile(np.arange(len(plan)) < n, len(mine)))
+        return np.concatenate(keys), np.concatenate(owners), np.concatenate(filed)
+
+
 def within(a: list[str], b: list[str], threshold: int) -> np.ndarray:
     """Whether the edit distance of each pair of lines is at most the threshold.
 
@@ -137,20 +239,33 @@ class Verifier:
 
     def __init__(self, threshold: int):
         self.threshold = threshold
-        self.a, self.b, self.texts = [], [], {}
-
-    def group(self, ids: list[int], own: list[bool], block: list[int], texts: list[str], blocks: tuple[int, int]) -> Iterator[np.ndarray]:
-        """One group of lines that share a segment; of two blocks, only pairs across them."""
+        self.numbers: dict[tuple[int, int], int] = {}
+        self.pairs: dict[tuple[int, int], None] = {}
+        self.texts: dict[int, str] = {}
+
+    def near(self, i: list[str], j: list[str]) -> np.ndarray:
+        """Whether each pair of lines is within the edits allowed to the shorter one."""
+        most = allowed([min(len(x), len(y)) for x, y in zip(i, j, strict=True)], self.threshold)
+        out = np.zeros(len(i), dtype=bool)
+        for t in np.unique(most):
+            some = np.flatnonzero(most == t)
+            out[some] = within([i[k] for k in some], [j[k] for k in some], int(t))
+        return out
+
+    def group(self, ids: list[tuple[int, int]], own: list[bool], block: list[int], texts: list[str], blocks: tuple[int, int]) -> Iterator[np.ndarray]:
+        """One group of lines, each with its two hashes, that share a segment; of two blocks, only pairs across them."""
         n, t = len(ids), self.threshold
         lengths = np.array([len(s) for s in texts])
         signs = np.stack([_sign(s) for s in texts])
-        filed, blocks_of, number = np.array(own), np.array(block), np.array(ids)
+        filed, blocks_of, both = np.array(own), np.array(block), np.array(ids, dtype=np.int64)
+        most, number = allowed(lengths, t), np.arange(n)
         left, right = [], []
         step = max(1, (1 << 22) // (n * SIGNS))
         for at in range(0, n, step):
             rows = np.arange(at, min(n, at + step))
-            near = np.abs(signs[rows][:, None, :] - signs[None, :, :]).sum(axis=2) <= 2 * t
-            near &= np.abs(lengths[rows][:, None] - lengths[None, :]) <= t
+            edits = np.minimum(most[rows][:, None], most[None, :])
+            near = np.abs(signs[rows][:, None, :] - signs[None, :, :]).sum(axis=2) <= 2 * edits
+            near &= np.abs(lengths[rows][:, None] - lengths[None, :]) <= edits
             near &= (filed[rows][:, None] | filed[None, :]) & (number[rows][:, None] < number[None, :])
             if blocks[0] != blocks[1]:
                 near &= blocks_of[rows][:, None] != blocks_of[None, :]
@@ -162,83 +277,104 @@ class Verifier:
             found = []
             for at in range(0, len(left), PAIRS):
                 i, j = left[at : at + PAIRS], right[at : at + PAIRS]
-                ok = within([texts[k] for k in i], [texts[k] for k in j], t)
+                ok = self.near([texts[k] for k in i], [texts[k] for k in j])
                 found.append((i[ok], j[ok]))
-            yield self._tree(number[np.concatenate([f[0] for f in found])], number[np.concatenate([f[1] for f in found])])
+            yield self._tree(both, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
             return
         for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            self.a.append(ids[i])
-            self.b.append(ids[j])
-            self.texts[ids[i]], self.texts[ids[j]] = texts[i], texts[j]
-        if len(self.a) >= PAIRS:
+            x, y = (self.numbers.setdefault(ids[k], len(self.numbers)) for k in (i, j))
+            self.pairs[min(x, y), max(x, y)] = None
+            self.texts[x], self.texts[y] = texts[i], texts[j]
+        if len(self.pairs) >= PAIRS:
             yield self.flush()
 
     def flush(self) -> np.ndarray:
-        if not self.a:
-            return np.zeros((0, 2), dtype=np.int64)
-        pairs = list(dict.fromkeys(zip(self.a, self.b, strict=True)))
-        ok = within([self.texts[i] for i, _ in pairs], [self.texts[j] for _, j in pairs], self.threshold)
-        found = np.array(pairs, dtype=np.int64)[ok]
-        self.a, self.b, self.texts = [], [], {}
-        return self._tree(found[:, 0], found[:, 1])
+        if not self.pairs:
+            return np.zeros((0, 4), dtype=np.int64)
+        pairs = np.array(list(self.pairs), dtype=np.int64)
+        ok = self.near([self.texts[i] for i, _ in self.pairs], [self.texts[j] for _, j in self.pairs])
+        tree = self._tree(np.array(list(self.numbers), dtype=np.int64), pairs[ok, 0], pairs[ok, 1])
+        self.numbers, self.pairs, self.texts = {}, {}, {}
+        return tree
 
     @staticmethod
-    def _tree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-        label = forest(flat[: len(a)], flat[len(a) :], len(nodes))
-        linked = np.flatnonzero(label != np.arange(len(nodes)))
-        return np.stack([nodes[label[linked]], nodes[linked]], axis=1)
+    def _tree(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Trees of the links between rows of ids, as rows of both ends' hashes."""
+        label = forest(a, b, len(ids))
+        linked = np.flatnonzero(label != np.arange(len(ids)))
+        return np.concatenate([ids[label[linked]], ids[linked]], axis=1)
 
 
-def line_links(distinct: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY, block: int = BLOCK) -> DataFrame:
-    """a, b: links whose trees are the classes of distinct lines (id, line) within the threshold."""
-    small_batches(distinct.sparkSession)
-    fuzzy = distinct.filter(F.length("line") >= least).select("id", "line")
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, document, place, line, id, id2 (two hashes of the line) of every line that is not blank."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("document"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    rows = rows.filter(F.col("line").rlike(f"[^{SPACE}]"))
+    return rows.select("*", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from functools import lru_cache
 
+def _key(docs: DataFrame) -> Column:
+    """16 bytes for a doc_id and its text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), F.coalesce("text", F.lit("")))))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def line_links(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """id, id2, to, to2: links whose trees are the classes of different lines of docs that are near equal."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        cut = lru_cache(maxsize=4096)(lambda length: places(length, threshold, least))
-        for batch in batches:
-            key, owner, own = [], [], []
-            for number, line in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                filed, probes = cut(len(line))
-                for parts in (filed, probes):
-                    key += [xxh64_intdigest(line[a:b].encode("utf-8", "surrogatepass"), seed) for seed, a, b in parts]
-                own += [True] * len(filed) + [False] * len(probes)
-                owner += [number] * (len(filed) + len(probes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(owner, pa.int64()), pa.array(own, pa.bool_())], names=["key", "id", "own"])
-
-    rows = fuzzy.mapInArrow(keys, "key long, id long, own boolean")
-    by_key = Window.partitionBy("key")
-    met = rows.select("key", "id", "own", F.count("*").over(by_key).alias("n"), F.max("own").over(by_key).alias("filed")).filter("n > 1 and filed")
-    met = written(met.select("key", "id", "own", "n"), "candidates")
-    # few lines meet others, as a rule: if their ids fit a bounded broadcast, the other texts stay where they are
-    ids = met.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        fuzzy = written(fuzzy.join(F.broadcast(ids), "id", "left_semi"), "met_lines")
+        cut, seen = Keys(threshold), set()
+        for batch in slices(batches):
+            ids, lines = [], []
+            for text in batch.column("text").to_pylist():
+                for line in text.split("\n") if text else ():
+                    if len(line) >= LEAST and line.strip(_BLANK):
+                        number = xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+                        if number not in seen:
+                            seen.add(number)
+                            ids.append(number)
+                            lines.append(line)
+            if len(seen) > SEEN:
+                seen = set()
+            owners = np.array(ids, dtype=np.uint64).view(np.int64)
+            for key, owner, filed in cut(lines):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owners[owner]), pa.array(filed)], names=["key", "id", "own"])
+
+    rows = docs.select("text").mapInArrow(keys, "key long, id long, own boolean")
+    # longs only: hot segments are combined in the tasks that read them
+    met = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("own").cast("int")).alias("filed"), F.count("*").alias("n"))
+    met = _few(written(met.filter("low <> high and filed = 1").select(F.col("key").alias("met"), "n"), "met_keys"))
+    found = rows.join(met, F.col("key") == F.col("met"), "left_semi").groupBy("key", "id").agg(F.max(F.col("own").cast("int")).alias("own"))
+    found = written(found, "candidates")
+    # two lines with one first hash both come along: what they are is told by both hashes and the text
+    ids = _few(written(found.select(F.col("id").alias("sought")).distinct(), "met_ids"))
+    texts = _lines(docs).filter(F.length("line") >= LEAST).select("id", "id2", "line")
+    texts = texts.join(ids, F.col("id") == F.col("sought"), "left_semi").groupBy("id", "id2").agg(F.any_value("line").alias("line"))
     cuts = F.ceil(F.col("n") / block).cast("int")
-    dealt = met.select("key", "id", "own", cuts.alias("cuts"), F.pmod(F.xxhash64("id"), cuts).cast("int").alias("block"))
+    dealt = found.join(met, F.col("key") == F.col("met")).select("key", "id", "own", cuts.alias("cuts"), F.pmod(F.xxhash64("id"), cuts).cast("int").alias("block"))
     dealt = dealt.select("key", "id", "own", "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "id", "own", "block")
-    texts = dealt.join(fuzzy, "id").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+    texts = dealt.join(written(texts, "met_lines"), "id").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verifier, now, rows_ = Verifier(threshold), None, []
 
         def told(found: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(4)], names=["id", "id2", "to", "to2"])
 
         def end() -> Iterator[pa.RecordBatch]:
             if len(rows_) > 1:
-                ids, own, blocks, lines = zip(*rows_, strict=True)
-                for found in verifier.group(list(ids), list(own), list(blocks), list(lines), now[1:]):
+                ids, ids2, own, blocks, lines = zip(*rows_, strict=True)
+                for found in verifier.group(list(zip(ids, ids2, strict=True)), [x == 1 for x in own], list(blocks), list(lines), now[1:]):
                     yield told(found)
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "b1", "b2", "id", "own", "block", "line")]
+        for batch in slices(batches):
+            columns = [batch.column(c).to_pylist() for c in ("key", "b1", "b2", "id", "id2", "own", "block", "line")]
             for key, b1, b2, *row in zip(*columns, strict=True):
                 if (key, b1, b2) != now:
                     yield from end()
@@ -247,47 +383,54 @@ def line_links(distinct: DataFrame, threshold: int = THRESHOLD, least: int = MIN
         yield from end()
         yield told(verifier.flush())
 
-    return texts.select("key", "b1", "b2", "id", "own", "block", "line").mapInArrow(verify, "a long, b long")
+    return texts.select("key", "b1", "b2", "id", "id2", "own", "block", "line").mapInArrow(verify, "id long, id2 long, to long, to2 long")
+
 
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """id, id2, root, root2 of each line that is repeated or near another one; the lines of a class have one root."""
+    began = mark(docs.sparkSession)
+    counts = _lines(docs).groupBy("id", "id2").agg(F.count("*").alias("n"))
+    again = written(counts.filter("n > 1").select("id", "id2"), "repeated")
+    found = written(line_links(docs, threshold, block), "line_links")
+    # components take one long for a node: linked lines are numbered
+    nodes = found.select("id", "id2").union(found.select("to", "to2")).distinct()
+    nodes = written(nodes.select("*", F.monotonically_increasing_id().alias("node")), "linked_lines")
+    ends = nodes.select(F.col("id").alias("to"), F.col("id2").alias("to2"), F.col("node").alias("b"))
+    edges = found.join(nodes, ["id", "id2"]).join(ends, ["to", "to2"]).select(F.col("node").alias("a"), "b")
+    roots = components(edges)
+    named = nodes.select(F.col("id").alias("root"), F.col("id2").alias("root2"), F.col("node").alias("top"))
+    linked = nodes.join(roots.withColumnRenamed("root", "top"), "node").join(named, "top").select("id", "id2", "root", "root2")
+    alone = again.join(linked, ["id", "id2"], "left_anti").select("id", "id2", F.col("id").alias("root"), F.col("id2").alias("root2"))
+    return written(linked.unionByName(alone), "line_classes", began)
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY, block: int = BLOCK) -> DataFrame:
+
+def removals(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """document (its key), removed array<int> (places of lines), lost (characters), kept_in array<long> (doc_ids), spots (place, size and keeper's document and place of each line)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key(docs).alias("document"))
-    lines = rows.select("doc_id", "document", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.col("line").rlike(f"[^{SPACE}]"))
-    lines = lines.select("doc_id", "document", "place", "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
-    spot = F.struct("doc_id", "document", "place")
-    text = F.when(F.length("line") >= least, F.col("line"))
-    distinct = written(lines.groupBy("id", "id2").agg(F.count("*").alias("n"), F.min(spot).alias("first"), F.min(text).alias("line")), "lines")
-    roots = components(written(line_links(distinct, threshold, least, block), "line_links"))
-    # lines that are alone in their class need no further thought
-    some = distinct.select("id", "id2", "n", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    some = some.filter("n > 1 or root is not null").select("id", "id2", "first", F.coalesce("root", "id").alias("root"))
-    keepers = some.groupBy("root").agg(F.min("first").alias("keeper"))
-    some = some.join(keepers, "root").select("id", "id2", "keeper")
-    found = lines.select("doc_id", "document", "place", F.length("line").alias("size"), "id", "id2").join(some, ["id", "id2"])
-    found = found.filter(~((F.col("document") == F.col("keeper.document")) & (F.col("place") == F.col("keeper.place"))))
+    began = mark(docs.sparkSession)
+    classes = _few(line_classes(docs, threshold, block))
+    met = _lines(docs).select("doc_id", "document", "place", F.length("line").alias("size"), "id", "id2").join(classes, ["id", "id2"])
+    met = written(met.select("doc_id", "document", "place", "size", "root", "root2"), "class_lines")
+    # partial minima: a hot class is one row for each task
+    keepers = _few(written(met.groupBy("root", "root2").agg(F.min(F.struct("doc_id", "document", "place")).alias("keeper")), "keepers"))
+    found = met.join(keepers, ["root", "root2"]).filter(~((F.col("document") == F.col("keeper.document")) & (F.col("place") == F.col("keeper.place"))))
     spots = F.struct("place", "size", F.col("keeper.document").alias("keeper"), F.col("keeper.place").alias("keeper_place"))
     each = found.groupBy("document").agg(F.collect_set(spots).alias("spots"), F.array_sort(F.collect_set("keeper.doc_id")).alias("kept_in"))
-    return each.select("document", F.array_sort(F.col("spots.place")).alias("removed"), F.aggregate("spots.size", F.lit(0).cast("long"), lambda a, x: a + x).alias("lost"), "kept_in", "spots")
-
+    each = each.select("document", F.array_sort(F.col("spots.place")).alias("removed"), F.aggregate("spots.size", F.lit(0).cast("long"), lambda a, x: a + x).alias("lost"), "kept_in", "spots")
+    return written(each, "removals", began)
 
-def _key(docs: DataFrame):
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
-
-def near_copies(docs: DataFrame, gone: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
+def near_copies(docs: DataFrame, gone: DataFrame, heavy_share: float = HEAVY) -> DataFrame:
     """document, repeats (places of lines repeated within it) of near copies of documents that stay.
 
-    Of documents that would lose over max_loss, each is compared with the document that keeps most
+    Of documents that would lose over heavy_share, each is compared with the document that keeps most
     of what it would lose, both as they leave this stage; the other must lose less itself.
     """
     sizes = F.aggregate(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     wholes = docs.select(_key(docs).alias("document"), "text", sizes.alias("whole"))
-    small_batches(docs.sparkSession)
-    heavy = wholes.join(gone, "document").filter(F.col("lost") > max_loss * F.col("whole")).select("document", "text", "spots")
+    heavy = wholes.join(gone, "document").filter(F.col("lost") > heavy_share * F.col("whole")).select("document", "text", "spots")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             best, again, left = [], [], []
             for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
                 held, seen, repeats = {}, set(), set()
@@ -301,10 +444,10 @@ def near_copies(docs: DataFrame, gone: DataFrame, max_loss: float = MAX_LOSS) ->
                 best.append(min(held, key=lambda k: (-held[k], k)))
                 again.append(sorted(repeats))
                 left.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in repeats))
-            yield pa.RecordBatch.from_arrays([batch.column("document"), pa.array(best, pa.int64()), pa.array(again, pa.list_(pa.int32())), pa.array(left, pa.string())], names=["document", "best", "repeats", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column("document"), pa.array(best, pa.binary()), pa.array(again, pa.list_(pa.int32())), pa.array(left, pa.string())], names=["document", "best", "repeats", "own"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sides = zip(batch.column("own").to_pylist(), batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True)
             good = []
             for own, text, removed in sides:
@@ -313,29 +456,34 @@ def near_copies(docs: DataFrame, gone: DataFrame, max_loss: float = MAX_LOSS) ->
                 good.append(jaccard(shingle_set(own), shingle_set(kept)) >= SIMILAR)
             yield batch.select(["document", "repeats"]).filter(pa.array(good, pa.bool_()))
 
-    judged = heavy.mapInArrow(judge, "document long, best long, repeats array<int>, own string").filter("best <> document")
+    judged = heavy.mapInArrow(judge, "document binary, best binary, repeats array<int>, own string").filter("best <> document")
     judged = written(judged.dropDuplicates(["document"]), "heavy")
     others = judged.select(F.col("best").alias("document")).distinct().join(judged.select("document"), "document", "left_anti")
     others = wholes.join(others, "document").join(gone.select("document", "removed"), "document", "left").groupBy("document").agg(F.any_value("text").alias("text"), F.any_value("removed").alias("removed"))
     met = judged.join(written(others, "originals").withColumnRenamed("document", "best"), "best")
-    return written(met.select("document", "repeats", "own", "text", "removed").mapInArrow(alike, "document long, repeats array<int>"), "near_copies")
+    return written(met.select("document", "repeats", "own", "text", "removed").mapInArrow(alike, "document binary, repeats array<int>"), "near_copies")
+
 
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, told: str = "_lines", spare: bool = False) -> DataFrame:
+    """docs with the text cleaned, and a struct (named by told, which replaces a column of that name) of n_lines, duplicates, kept_in and cut (whether lines were removed).
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FUZZY, block: int = BLOCK, max_loss: float = MAX_LOSS, told: str = "_lines", prove: bool = False) -> DataFrame:
-    """docs with the text cleaned (with prove, of all documents but proved near copies), and a struct (named by told, which replaces a column of that name) of n_lines, duplicates, kept_in and cut (whether lines were removed)."""
-    gone = removals(docs, threshold, least, block)
-    if prove:
-        gone = written(gone, "removals")
-        copies = near_copies(docs, gone, max_loss).withColumnRenamed("document", "_copy")
+    With spare, proved near copies of a document that stays lose only what is repeated within them.
+    """
+    began = mark(docs.sparkSession)
+    gone = removals(docs, threshold, block)
+    if spare:
+        copies = near_copies(docs, gone).withColumnRenamed("document", "_copy")
         gone = gone.join(copies, F.col("document") == F.col("_copy"), "left").withColumn("out", F.coalesce("repeats", "removed"))
+        gone = written(gone.drop("_copy", "repeats", "spots"), "removals", began)
     else:
         gone = gone.withColumn("out", F.col("removed"))
-    gone = gone.withColumnRenamed("document", "_ld_document")
-    # measured before the join: who needs no text gets none shuffled
-    sizes = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")), F.length)
-    measured = docs.withColumns({"_ld_document": _key(docs), "_ld_n": F.coalesce(F.size(sizes), F.lit(0)), "_ld_whole": F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)})
-    joined = measured.join(gone.select("_ld_document", F.struct("removed", "lost", "kept_in", "out").alias("_ld_gone")), "_ld_document", "left")
-    cut = F.coalesce(F.size("_ld_gone.out") > 0 if prove else F.col("_ld_gone.lost") <= max_loss * F.col("_ld_whole"), F.lit(False))
+    # few removed lines, as a rule: the texts stay where they are
+    few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= BROADCAST_IDS
+    gone = gone.select(F.col("document").alias("_ld_document"), F.struct("removed", "kept_in", "out").alias("_ld_gone"))
+    sizes = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
+    measured = docs.withColumns({"_ld_document": _key(docs), "_ld_n": F.coalesce(sizes, F.lit(0))})
+    joined = measured.join(F.broadcast(gone) if few else gone, "_ld_document", "left")
+    cut = F.coalesce(F.size("_ld_gone.out") > 0, F.lit(False))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_ld_gone.out", i)), "\n")
     struct = F.struct(
         F.col("_ld_n").cast("long").alias("n_lines"),
@@ -346,11 +494,11 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_FU
     return joined.select(*(F.when(cut, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != told), struct.alias(told))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, spare: bool = False) -> DataFrame:
     """docs with cleaned texts and nothing else changed but n_chars, where that column holds their lengths."""
     # columns that the operator names itself step aside
     aside = {c: f"_ld_kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    found = dedup_lines(docs.withColumnsRenamed(aside), prove=True)
+    found = dedup_lines(docs.withColumnsRenamed(aside), spare=spare)
     out = []
     for c in docs.columns:
         own = F.col(aside.get(c, c))
@@ -363,7 +511,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, which of them are removed as duplicates, and the documents that keep them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = dedup_lines(docs, prove=True)
+    found = dedup_lines(docs)
     return found.select(
         "doc_id",
         F.col("_lines.n_lines").alias("n_lines"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches, written
+from corpusloom.llm.common import slices, written
 from corpusloom.llm.components import components
 from corpusloom.llm.simhash import SEED, TILE, forest, majority, shingle_hashes
 
@@ -60,13 +60,12 @@ def sketch(own: np.ndarray) -> list[np.uint64]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_id, node, n (the size of the text's set) and the words of its fingerprint for every row."""
-    small_batches(docs.sparkSession)
     words = [f"w{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             node, n, prints = np.zeros(batch.num_rows, dtype=np.uint64), [], np.zeros((WORDS, batch.num_rows), dtype=np.uint64)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = shingle_set(text)
@@ -140,7 +139,7 @@ def proposed(nodes: DataFrame, whole: bool, tile: int = TILE) -> DataFrame:
     pairs = pairs.repartition(min(n, 20_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in range(batch.num_rows):
                 sides = []
                 for c in ("rows", "rows_"):
@@ -150,13 +149,11 @@ def proposed(nodes: DataFrame, whole: bool, tile: int = TILE) -> DataFrame:
                 for i, j in like_sets(x[:, 1:], y[:, 1:], batch.column("same")[row].as_py(), whole):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i, 0].view(np.int64)), pa.array(y[j, 0].view(np.int64))], names=["a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     return pairs.mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of at least SIMILAR."""
-    small_batches(docs.sparkSession)
     met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     met = written(nodes.select("node", "text_id").join(met, "node", "left_semi"), "met_sets")
     small = met.count() <= BROADCAST_IDS
@@ -164,12 +161,12 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = texts.groupBy("node").agg(F.any_value("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "own"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
             good = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILAR for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -192,7 +189,6 @@ def near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
     if not more.isEmpty():
         found = found.unionByName(written(confirmed(more, nodes, docs), "near_copies"))
         roots = components(found)
-    small_batches(docs.sparkSession)
     trees = nodes.select("node", "first").join(roots, "node")
     moved = trees.join(trees.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
     named = nodes.select("node", "first").join(moved, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))

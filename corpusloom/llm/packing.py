@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import file_order, read, small_batches, written
+from corpusloom.llm.common import file_order, read, slices, written
 
 SEQUENCE = 1024
 #: Tokens that a visit sends, or a multiple: pieces are not cut finer than that but at ends of documents and windows.
@@ -118,7 +118,6 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
     part is the task that made the row, place the number of the queue's tokens in that task
     before it. `tokenizer` is a file every worker can open.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -128,7 +127,7 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, coder = TaskContext.get().partitionId(), _coder(tokenizer)
         places: dict[str | None, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             ids = coder(batch.column("text").to_pylist())
             counts = [len(x) // coder.type.itemsize for x in ids]
             starts = []
@@ -239,7 +238,7 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str | None, float] | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        for batch in batches:
+        for batch in slices(batches):
             number, counts, at = (batch.column(c).to_numpy() for c in ("number", "n", "at"))
             ids = batch.column("ids")
             for q in np.unique(number):

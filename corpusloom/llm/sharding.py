@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import file_order, read, small_batches, written
+from corpusloom.llm.common import file_order, read, slices, written
 
 BUNDLES = 1 << 15
 SHARDS = 8
@@ -123,7 +123,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     A group larger than a shard's fair part fills a shard beyond it: groups are indivisible.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -147,7 +146,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
 
         part, (own, by_bundle) = TaskContext.get().partitionId(), plan.value
         seen = np.zeros(shards, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             to = by_bundle[batch.column("bundle").to_numpy()]
             if own:
                 for i, group in enumerate(batch.column("group").to_pylist()):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read, small_batches, written
+from corpusloom.llm.common import read, slices, written
 from corpusloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -62,10 +62,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, for every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
@@ -138,13 +137,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     pairs = pairs.select("fps", "fps_", "same").repartition(min(max(n, 1), 20_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i in range(batch.num_rows):
                 x, y = (np.asarray(batch.column(c)[i].values).astype(np.int64).view(np.uint64) for c in ("fps", "fps_"))
                 found = close_pairs(x, y, radius, batch.column("same")[i].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     return pairs.mapInArrow(run, "a long, b long")
 
 
@@ -154,7 +152,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = written(distinct, "distinct")
     found = written(links(distinct.select("fp"), radius, tile), "links")
-    small_batches(docs.sparkSession)
     roots = components(found)
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # only fingerprints that are linked need the minimum of their tree

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read, small_batches
+from corpusloom.llm.common import read, slices
 
 KEEP = 1_000_000
 #: No way on: the rest of the word cannot be matched.
@@ -131,10 +131,9 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     Words are runs of anything but ASCII white space.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts = _counts(vocabulary)
             if len(counts) > KEEP:
                 counts.clear()

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import read, small_batches, words_of, written
+from corpusloom.llm.common import read, slices, words_of, written
 
 BUCKETS = 1 << 18
 MAX_ROWS = 12_000
@@ -129,7 +129,6 @@ def train(doc: np.ndarray, term: np.ndarray, labels: np.ndarray, n_terms: int) -
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
     """Learn from at most max_rows labelled documents."""
-    small_batches(docs.sparkSession)
     teach = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     teach = teach.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     teach = teach.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -141,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, BUCKETS), dtype=np.int64)
         rows = np.zeros(2, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 n[label, buckets_of(text)] += 1
                 rows[label] += 1
@@ -168,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine
     placed = docs.sparkSession.sparkContext.broadcast(places)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bits = []
             for text in batch.column("text").to_pylist():
                 row = np.zeros(PAIR_TERMS, dtype=bool)
@@ -187,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value[buckets_of(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([f[f >= 0].tolist() for f in found], pa.list_(pa.int64()))], names=["label", "terms"])
 
@@ -199,11 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine
 
 def score(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataFrame:
     """The rows of docs with their score (0 to 1) in a column, which replaces one of that name."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             logit = shared.value.logits(*active(texts, shared.value.terms), len(texts))
             values = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))

@@ -131,8 +131,8 @@ def test_band_and_segments(threshold):
     near = [distance(x, y) <= threshold for x, y in zip(a, b)]
     assert linededup.within(a, b, threshold).tolist() == near
     for x, y, ok in zip(a, b, near):
-        if ok and x != y:
-            keys = [[{(seed, s[i:j]) for seed, i, j in part} for part in linededup.places(len(s), threshold, threshold + 1)] for s in (x, y)]
+        if ok and x != y and distance(x, y) <= linededup.allowed(min(len(x), len(y)), threshold):
+            keys = [[{(seed, s[i:j]) for seed, i, j in part} for part in linededup.places(len(s), threshold)] for s in (x, y)]
             (filed_x, probed_x), (filed_y, probed_y) = keys
             assert filed_x & (filed_y | probed_y) or filed_y & probed_x
 
@@ -141,9 +141,10 @@ def test_band_and_segments(threshold):
 def test_line_dedup_against_all_pairs(spark, block):
     rng = random.Random(8)
     stems = ["".join(rng.choices("abcdefgh ", k=60)) for _ in range(12)]
+    stems += ["".join(rng.choices("abcdefgh ", k=n)) for n in (11, 12, 13, 14, 22, 23, 24, 25)]
     lines = [edited(rng, s, rng.randint(0, 3), "abcdefgh") for s in stems for _ in range(9)] + ["short", "short", "shart"] + stems
     rng.shuffle(lines)
-    table = [(i, "\n".join([f"own line number {i} " + "".join(rng.choices("qrstuvw", k=90)), *lines[i * 4 : i * 4 + 4]])) for i in range(31)]
+    table = [(i, "\n".join([f"own line number {i} " + "".join(rng.choices("qrstuvw", k=90)), *lines[i * 7 : i * 7 + 7]])) for i in range(31)]
     df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
     every = [(i, k, x) for i, t in table for k, x in enumerate(t.split("\n")) if x.strip()]
     texts = sorted({x for *_, x in every})
@@ -156,7 +157,7 @@ def test_line_dedup_against_all_pairs(spark, block):
 
     for i, x in enumerate(texts):
         for y in texts[i + 1 :]:
-            if min(len(x), len(y)) >= linededup.MIN_FUZZY and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+            if abs(len(x) - len(y)) <= 2 and distance(x, y) <= min(2, min(len(x), len(y)) // 12):
                 parent[find(x)] = find(y)
     first = {}
     for i, k, x in every:
@@ -166,15 +167,46 @@ def test_line_dedup_against_all_pairs(spark, block):
     assert {i: r["_lines"]["duplicates"] for i, r in got.items()} == want
     for i, text in table:
         kept = [x for k, x in enumerate(text.split("\n")) if k not in want[i]]
-        lost = sum(len(text.split("\n")[k]) for k in want[i])
-        assert got[i]["text"] == (text if not want[i] or lost > 0.5 * len(text.replace("\n", "")) else "\n".join(kept))
+        assert got[i]["text"] == "\n".join(kept)
 
 
-def test_line_dedup_on_odd_rows(odd, empty, docs):
-    found = linededup.cleaned(odd)
-    assert columns_kept(found, odd) and found.count() == odd.count()
-    assert linededup.cleaned(empty).count() == 0
-    assert {r["doc_id"]: r["text"] for r in linededup.cleaned(docs).collect()}[14] == "1 2 3\n\n"
+def test_line_dedup_on_odd_rows(odd, empty, docs, texts):
+    for spare in (False, True):
+        found = linededup.cleaned(odd, spare)
+        assert columns_kept(found, odd) and found.count() == odd.count()
+        assert linededup.cleaned(empty, spare).count() == 0
+        assert {r["doc_id"]: r["text"] for r in linededup.cleaned(docs, spare).collect()}[14] == "1 2 3\n\n"
+    every = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+    first = {}
+    for i, k, x in every:
+        first.setdefault(x.replace("rivers", "river"), (i, k))  # the one near pair
+    gone = {i: [k for j, k, x in every if j == i and first[x.replace("rivers", "river")] != (i, k)] for i in range(len(texts))}
+    found = {r["doc_id"]: r["_lines"] for r in linededup.dedup_lines(odd).collect() if r["doc_id"] is not None}
+    assert {i: r["duplicates"] for i, r in found.items()} == gone
+
+
+def test_keys_of_long_lines_by_pieces(monkeypatch):
+    rng = random.Random(1)
+    lines = ["".join(rng.choices("abé日", k=n)) for n in (12, 40, 200, 333)]
+    whole = [[], [], [], []]
+    for key, owner, _ in linededup.Keys()(lines):
+        for k, i in zip(key.tolist(), owner.tolist()):
+            whole[i].append(k)
+    linededup._powers.cache_clear()
+    monkeypatch.setattr(linededup, "CHUNK", 64)
+    for i, line in enumerate(lines):
+        plan, _ = linededup.Keys().plan(len(line))
+        assert linededup._long_line(line, plan).tolist() == whole[i]
+    linededup._powers.cache_clear()
+
+
+def test_two_lines_with_one_first_hash_are_two_lines(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = linededup._lines
+    monkeypatch.setattr(linededup, "_lines", lambda docs: real(docs).withColumn("id", F.lit(7).cast("long")))
+    df = spark.createDataFrame([(1, "first line of the one document"), (2, "another text altogether, longer"), (3, "first line of the one document")], "doc_id long, text string")
+    assert [r["text"] for r in linededup.cleaned(df).orderBy("doc_id").collect()] == ["first line of the one document", "another text altogether, longer", ""]
 
 
 # quality
