@@ -325,32 +325,44 @@ def _few(df: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """id, id2, to, to2: links whose trees are the classes of different lines of docs that are near equal."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+    def keys(only=None):
+        """The substrings' keys of the lines of docs; of keys in `only` (a broadcast of sorted ones), if given."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from xxhash import xxh64_intdigest
+
+            cut, seen = Keys(threshold), set()
+            for batch in slices(batches):
+                ids, lines = [], []
+                for text in batch.column("text").to_pylist():
+                    for line in text.split("\n") if text else ():
+                        if len(line) >= LEAST and line.strip(_BLANK):
+                            number = xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+                            if number not in seen:
+                                seen.add(number)
+                                ids.append(number)
+                                lines.append(line)
+                if len(seen) > SEEN:
+                    seen = set()
+                owners = np.array(ids, dtype=np.uint64).view(np.int64)
+                for key, owner, filed in cut(lines):
+                    if only is not None:
+                        known = only.value
+                        some = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), dtype=bool)
+                        key, owner, filed = key[some], owner[some], filed[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owners[owner]), pa.array(filed)], names=["key", "id", "own"])
+
+        return docs.select("text").mapInArrow(run, "key long, id long, own boolean")
 
-        cut, seen = Keys(threshold), set()
-        for batch in slices(batches):
-            ids, lines = [], []
-            for text in batch.column("text").to_pylist():
-                for line in text.split("\n") if text else ():
-                    if len(line) >= LEAST and line.strip(_BLANK):
-                        number = xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
-                        if number not in seen:
-                            seen.add(number)
-                            ids.append(number)
-                            lines.append(line)
-            if len(seen) > SEEN:
-                seen = set()
-            owners = np.array(ids, dtype=np.uint64).view(np.int64)
-            for key, owner, filed in cut(lines):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owners[owner]), pa.array(filed)], names=["key", "id", "own"])
-
-    rows = docs.select("text").mapInArrow(keys, "key long, id long, own boolean")
     # longs only: hot segments are combined in the tasks that read them
-    met = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("own").cast("int")).alias("filed"), F.count("*").alias("n"))
-    met = _few(written(met.filter("low <> high and filed = 1").select(F.col("key").alias("met"), "n"), "met_keys"))
-    found = rows.join(met, F.col("key") == F.col("met"), "left_semi").groupBy("key", "id").agg(F.max(F.col("own").cast("int")).alias("own"))
-    found = written(found, "candidates")
+    met = keys().groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("own").cast("int")).alias("filed"), F.count("*").alias("n"))
+    met = written(met.filter("low <> high and filed = 1").select(F.col("key").alias("met"), "n"), "met_keys")
+    if met.count() <= BROADCAST_IDS:
+        found = keys(docs.sparkSession.sparkContext.broadcast(np.sort(met.select("met").toPandas()["met"].to_numpy(dtype=np.int64))))
+    else:
+        found = keys().join(met, F.col("key") == F.col("met"), "left_semi")
+    found = written(found.groupBy("key", "id").agg(F.max(F.col("own").cast("int")).alias("own")), "candidates")
+    met = _few(met)
     # two lines with one first hash both come along: what they are is told by both hashes and the text
     ids = _few(written(found.select(F.col("id").alias("sought")).distinct(), "met_ids"))
     texts = _lines(docs).filter(F.length("line") >= LEAST).select("id", "id2", "line")
