@@ -103,3 +103,15 @@ def file_order(part: str, keys: list[str], df: DataFrame, size: str, start: str)
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(part, *keys).agg(F.sum(size).alias("_size"))
     return sums.select(part, *keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("long").alias(start))
+
+
+def join_each(rows: DataFrame, names: DataFrame, key: str, total: int, parts: int = 10_000) -> DataFrame:
+    """rows joined with names, which has one row for each key and in `n` the number of rows with it.
+
+    The at most `parts` keys that hold at least one of so many parts of all rows are broadcast,
+    so that no key gathers its rows in one task.
+    """
+    large = F.col("n") * parts >= total
+    hot = F.broadcast(names.filter(large).drop("n"))
+    others = rows.join(hot.select(key), key, "left_anti").join(names.filter(~large).drop("n"), key)
+    return rows.join(hot, key).unionByName(others)

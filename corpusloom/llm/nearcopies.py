@@ -6,7 +6,9 @@ tiles of the same or the next class meet. Within a pair of tiles wide SimHash fi
 the sets propose pairs, and the exact Jaccard similarity of the sets confirms each one.
 
 A large group of near copies must not yield all its pairs: the first pass proposes only enough
-pairs to link each group, the second one every pair that the confirmed ones have not linked.
+pairs to link each group, the second one those that the confirmed ones have not linked. Where
+these are many for the sets they join, the sets are dealt out in pairs of blocks, and a task
+compares two blocks by a product of matrices; it reports a spanning forest of the links found.
 The fingerprints may miss a pair, by the bounds below about one in 10,000 at similarity 0.8.
 
 Null and empty texts have the empty set, which is a node like any other. Rows with the same
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, written
+from corpusloom.llm.common import join_each, mark, slices, written
 from corpusloom.llm.components import components
 from corpusloom.llm.simhash import SEED, TILE, forest, majority, shingle_hashes
 
@@ -30,6 +32,10 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Words of 64 bits in a fingerprint, and how many bits may differ in the first word and in all. Sets with similarity 0.8
 #: differ in 0.15 of the bits on average (very small ones in 0.19), unrelated ones in half: both are several deviations away.
 WORDS, FIRST_BITS, ALL_BITS = 3, 24, 58
+#: Sets in a block and the hashes they hold together, at most (one set may hold more); columns of a product.
+BLOCK, BLOCK_HASHES, COLUMNS = 512, 1 << 20, 4096
+#: Pairs for each set from which on blocks are compared whole.
+DENSE = 4
 #: Text ids (8 bytes each) that are broadcast at most; more are met in a shuffled join.
 BROADCAST_IDS = 2_000_000
 
@@ -117,15 +123,41 @@ def like_sets(x: np.ndarray, y: np.ndarray, same: bool, whole: bool) -> Iterator
         at += len(part)
 
 
+def _blocks(n: np.ndarray) -> list[np.ndarray]:
+    """Cut rows with these set sizes into blocks."""
+    number, size, count = np.zeros(len(n), dtype=np.int64), 0, 0
+    for i, more in enumerate(n.tolist()):
+        count, size = count + 1, size + more
+        new = i and (count > BLOCK or size > BLOCK_HASHES)
+        if new:
+            count, size = 1, more
+        number[i] = number[i - 1] + new if i else 0
+    return [np.flatnonzero(number == k) for k in range(int(number[-1]) + 1)] if len(n) else []
+
+
+def dealt(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of blocks of nodes that hold all pairs (a, b); n_a and n_b are the sizes of their sets."""
+    left, at_left, i = np.unique(a, return_index=True, return_inverse=True)
+    right, at_right, j = np.unique(b, return_index=True, return_inverse=True)
+    rows, columns = _blocks(n_a[at_left]), _blocks(n_b[at_right])
+    block_of = lambda blocks, n: np.repeat(np.arange(len(blocks)), [len(x) for x in blocks]) if n else np.zeros(0, int)
+    for both in np.unique(block_of(rows, len(left))[i] * len(columns) + block_of(columns, len(right))[j]):
+        yield left[rows[both // len(columns)]], right[columns[both % len(columns)]]
+
+
 def proposed(nodes: DataFrame, whole: bool, tile: int = TILE) -> DataFrame:
-    """a, b: pairs of nodes (node, n, root, words) with different roots that may be near copies."""
+    """Nodes (node, n, root, words) with different roots that may be near copies.
+
+    a, b, block: pairs a, b (block is null), or with `whole` also blocks' members: a is in the
+    first of a pair of blocks, b in the second one, the other is null.
+    """
     spark = nodes.sparkSession
     kept = ["node", "n", "root", *(f"w{k}" for k in range(WORDS))]
     # the empty set is one node; it resembles no other
     classed = nodes.filter("n > 0").select(*kept, F.floor(F.log("n") / -np.log(SIMILAR)).cast("int").alias("class"))
     cuts = {r["class"]: max(1, -(-r["count"] // tile)) for r in classed.groupBy("class").count().collect()}  # sizes grow by a quarter from class to class
     if not cuts:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        return spark.createDataFrame([], "a long, b long, block long")
     pick = F.create_map(*[F.lit(v) for k in sorted(cuts) for v in (k, cuts[k])])
     tiles = classed.withColumn("cut", F.pmod(F.xxhash64("node"), pick[F.col("class")].cast("long")).cast("int"))
     tiles = written(tiles.groupBy("class", "cut").agg(F.collect_list(F.struct(*kept)).alias("rows")), "set_tiles")
@@ -138,8 +170,18 @@ def proposed(nodes: DataFrame, whole: bool, tile: int = TILE) -> DataFrame:
     n = sum(c * (c + 1) // 2 + c * cuts.get(k + 1, 0) for k, c in cuts.items())
     pairs = pairs.repartition(min(n, 20_000))
 
+    def told(a: np.ndarray, b: np.ndarray, block=None) -> pa.RecordBatch:
+        if block is None:
+            columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())]
+        else:
+            none = lambda x: pa.nulls(len(x), pa.int64())
+            columns = [pa.concat_arrays([pa.array(a.view(np.int64)), none(b)]), pa.concat_arrays([none(a), pa.array(b.view(np.int64))]), pa.array([block] * (len(a) + len(b)), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "block"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
             for row in range(batch.num_rows):
                 sides = []
                 for c in ("rows", "rows_"):
@@ -147,14 +189,38 @@ def proposed(nodes: DataFrame, whole: bool, tile: int = TILE) -> DataFrame:
                     sides.append(np.stack([f.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for f in fields], axis=1))
                 x, y = sides
                 for i, j in like_sets(x[:, 1:], y[:, 1:], batch.column("same")[row].as_py(), whole):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i, 0].view(np.int64)), pa.array(y[j, 0].view(np.int64))], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a similarity of at least SIMILAR."""
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+                    a, b = x[i, 0], y[j, 0]
+                    if not whole or len(a) <= DENSE * (len(np.unique(a)) + len(np.unique(b))):
+                        yield told(a, b)
+                        continue
+                    for left, right in dealt(a, b, x[i, 1], y[j, 1]):
+                        number = xxh64_intdigest(left.tobytes() + b"|" + right.tobytes(), SEED)
+                        yield told(left, right, int(np.uint64(number).view(np.int64)))
+
+    return pairs.mapInArrow(run, "a long, b long, block long")
+
+
+def likeness(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """The similarity of each of some sorted sets to each of others."""
+    n, m = (np.array([len(x) for x in sets], dtype=np.float64) for sets in (own, other))
+    shared = np.intersect1d(np.concatenate(own), np.concatenate(other))
+    both = np.zeros((len(own), len(other)))
+    if len(shared):
+        at = [[np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in sets] for sets in (own, other)]
+        for start in range(0, len(shared), COLUMNS):
+            sides = []
+            for places in at:
+                held = np.zeros((len(places), COLUMNS), dtype=np.float32)
+                for row, p in enumerate(places):
+                    held[row, p[np.searchsorted(p, start) : np.searchsorted(p, start + COLUMNS)] - start] = 1
+                sides.append(held)
+            both += sides[0] @ sides[1].T
+    return both / np.maximum(n[:, None] + m[None, :] - both, 1)
+
+
+def confirmed(found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: links whose trees hold all pairs of nodes that proposed() found and whose sets have a similarity of at least SIMILAR."""
+    met = found.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     met = written(nodes.select("node", "text_id").join(met, "node", "left_semi"), "met_sets")
     small = met.count() <= BROADCAST_IDS
     texts = docs.select(F.xxhash64("text").alias("text_id"), "text").join(F.broadcast(met) if small else met, "text_id")
@@ -171,33 +237,58 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             good = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILAR for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    def alike_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, right = None, {}, {}
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if left and right:
+                i, j = np.nonzero(likeness(list(left.values()), list(right.values())) >= SIMILAR)
+                ids = np.array([*left, *right], dtype=np.int64)
+                nodes_, flat = np.unique(ids, return_inverse=True)
+                label = forest(flat[i], flat[j + len(left)], len(nodes_))
+                linked = np.flatnonzero(label != np.arange(len(nodes_)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_[label[linked]]), pa.array(nodes_[linked])], names=["a", "b"])
+
+        for batch in slices(batches):
+            for block, node, first, own in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "first", "own")), strict=True):
+                if block != now:
+                    yield from end()
+                    now, left, right = block, {}, {}
+                (left if first else right)[node] = np.frombuffer(own, np.uint64)
+        yield from end()
+
     owned = written(texts.mapInArrow(sets, "node long, own binary"), "sets")
-    joined = pairs.join(owned.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(owned.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    joined = found.filter("block is null").join(owned.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(owned.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    members = found.filter("block is not null").select("block", F.coalesce("a", "b").alias("node"), F.col("a").isNotNull().alias("first"))
+    members = members.join(owned, "node").repartition("block").sortWithinPartitions("block")
+    pairs = joined.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return pairs.unionByName(members.select("block", "node", "first", "own").mapInArrow(alike_blocks, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """doc_id, component_id (smallest doc_id that links of near copies reach) for every row of docs."""
     rows = written(sketches(docs), "sketches")
     values = ["n", *(f"w{k}" for k in range(WORDS))]
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_id").alias("text_id"), *(F.first(v).alias(v) for v in values)), "nodes")
-    found = written(proposed(nodes.withColumn("root", F.col("node")), False, tile), "proposed")
-    found = written(confirmed(found, nodes, docs), "near_copies")
-    roots = components(found)
-    left = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = written(proposed(left, True, tile), "proposed")
-    if not more.isEmpty():
-        found = found.unionByName(written(confirmed(more, nodes, docs), "near_copies"))
-        roots = components(found)
-    trees = nodes.select("node", "first").join(roots, "node")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_id").alias("text_id"), F.count("*").alias("rows"), *(F.first(v).alias(v) for v in values))
+    nodes = written(nodes, "nodes")
+    began = mark(docs.sparkSession)
+    found = written(proposed(nodes.withColumn("root", F.col("node")), False, tile), "proposed", began)
+    found = written(confirmed(found, nodes, docs), "near_copies", began)
+    after = mark(docs.sparkSession)
+    left = nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = written(proposed(left, True, tile), "proposed", after)
+    found = written(found.unionByName(confirmed(more, nodes, docs)), "near_copies", began)
+    trees = nodes.select("node", "first").join(components(found), "node")
     moved = trees.join(trees.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
-    named = nodes.select("node", "first").join(moved, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    named = nodes.join(moved, "node", "left").select("node", F.col("rows").alias("n"), F.coalesce("least", "first").alias("component_id"))
+    named = written(named, "named", began)
+    return join_each(rows.select("doc_id", "node"), named, "node", rows.count()).select("doc_id", "component_id")
 
 
 def first_of_near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest, and rows without a doc_id; as simhash.first_of_each."""
+    began = mark(docs.sparkSession)
     found = near_copies(docs, tile)
     state = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = written(state.filter(~F.col("stays")).select(F.col("doc_id").alias("_gone")), "copies")
+    gone = written(state.filter(~F.col("stays")).select(F.col("doc_id").alias("_gone")), "copies", began)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

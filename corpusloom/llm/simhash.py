@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import read, slices, written
+from corpusloom.llm.common import join_each, mark, read, slices, written
 from corpusloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -149,17 +149,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fp (signed long), component_id (smallest doc_id reachable) for every row of docs."""
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = written(distinct, "distinct")
-    found = written(links(distinct.select("fp"), radius, tile), "links")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    began = mark(docs.sparkSession)
+    found = written(links(distinct.select("fp"), radius, tile), "links", began)
     roots = components(found)
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # only fingerprints that are linked need the minimum of their tree
-    trees = linked.join(roots.select("root").distinct(), "root", "left_semi")
+    trees = distinct.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp")
     least = trees.groupBy("root").agg(F.min("first").alias("least"))
     moved = trees.join(least, "root").select("fp", "least")
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    return join_each(rows, written(named, "named", began), "fp", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -167,9 +166,10 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
 
     A doc_id on several rows stays on all of them if one of them stays.
     """
+    began = mark(docs.sparkSession)
     found = near_duplicates(docs, shingle, radius)
     state = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = written(state.filter(~F.col("stays")).select(F.col("doc_id").alias("_gone")), "copies")
+    gone = written(state.filter(~F.col("stays")).select(F.col("doc_id").alias("_gone")), "copies", began)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from conftest_llm import columns_kept
 
@@ -18,8 +19,9 @@ def similar(x, y):
     return len(x & y) >= 0.8 * len(x | y)
 
 
-@pytest.mark.parametrize("tile", [nearcopies.TILE, 7])
-def test_near_copies_against_all_pairs(spark, tile):
+@pytest.mark.parametrize(("tile", "dense"), [(nearcopies.TILE, 4), (7, 4), (nearcopies.TILE, 0)])
+def test_near_copies_against_all_pairs(spark, tile, dense, monkeypatch):
+    monkeypatch.setattr(nearcopies, "DENSE", dense)
     rng = random.Random(12)
     vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(900)]
     texts = [None, "", "one two", "ONE two"]
@@ -31,6 +33,8 @@ def test_near_copies_against_all_pairs(spark, tile):
                 texts.append(" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base))
     hot = rng.choices(vocabulary, k=300)
     texts += [" ".join(rng.choice(vocabulary) if rng.random() < 0.01 else w for w in hot) for _ in range(40)]
+    hot = rng.choices(vocabulary, k=200)  # most of these are a little under the bound
+    texts += [" ".join(rng.choice(vocabulary) if rng.random() < 0.03 else w for w in hot) for _ in range(60)]
     sets = [grams(t) for t in texts]
     root = list(range(len(texts)))
     for i in range(len(texts)):
@@ -51,3 +55,20 @@ def test_near_copies_on_odd_rows(spark, odd, empty):
     ids = [r["doc_id"] for r in found.select("doc_id").collect()]
     assert 6 not in ids and 5 in ids and None in ids and ids.count(3) == 2
     assert corpus_pipeline.dedup_documents(spark, empty, "").count() == 0
+
+
+def test_blocks_hold_all_pairs(monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 500, 40)
+    a, b = rng.integers(0, 20, 200), rng.integers(20, 40, 200)
+    got = {(x, y) for left, right in nearcopies.dealt(a, b, sizes[a], sizes[b]) for x in left.tolist() for y in right.tolist()}
+    assert got >= set(zip(a.tolist(), b.tolist()))
+
+
+def test_likeness_equals_jaccard(monkeypatch):
+    monkeypatch.setattr(nearcopies, "COLUMNS", 16)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 120, rng.integers(1, 90))).astype(np.uint64) for _ in range(14)]
+    got = nearcopies.likeness(sets[:6], sets[6:])
+    assert np.allclose(got, [[nearcopies.jaccard(x, y) for y in sets[6:]] for x in sets[:6]])
