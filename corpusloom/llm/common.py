@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Rows that become Python objects at a time; Spark bounds the bytes of a batch.
 BATCH_ROWS = 1000
+#: Rows of a few longs that are broadcast at most; more are met in a shuffled join.
+BROADCAST_ROWS = 1_000_000
 
 
 #: ASCII upper case becomes lower case, other ASCII characters but digits and letters become spaces.
@@ -105,6 +107,11 @@ def file_order(part: str, keys: list[str], df: DataFrame, size: str, start: str)
     return sums.select(part, *keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("long").alias(start))
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A written table of a few longs a row, marked for broadcast if its rows are few enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def join_each(rows: DataFrame, names: DataFrame, key: str, total: int, parts: int = 10_000) -> DataFrame:
     """rows joined with names, which has one row for each key and in `n` the number of rows with it.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import read, slices, words_of, written
+from corpusloom.llm.common import few, read, slices, words_of, written
 
 WINDOW = 13
 #: Text of one block of items; its index takes about ten times as much in each worker.
@@ -38,16 +38,14 @@ class Index:
     """The windows of a block of items by their prefix words."""
 
     def __init__(self, items: list[tuple[object, str | None]], frequency: dict[bytes, int], window: int):
-        self.window_items: dict[bytes, tuple[int, list]] = {}
+        self.window_items: dict[bytes, tuple[int, dict]] = {}
         self.prefixes: dict[bytes, dict[tuple[int, int], None]] = {}
         for item, text in items:
             words = words_of(text)
             for at in range(max(1, len(words) - window + 1) if words else 0):
                 run = words[at : at + window]
                 key = b" ".join(run)
-                length, owners = self.window_items.setdefault(key, (len(run), []))
-                if item not in owners:
-                    owners.append(item)
+                self.window_items.setdefault(key, (len(run), {}))[1][item] = None
                 offset = min(range(len(run)), key=lambda k: (frequency.get(run[k], 0), run[k], k))
                 self.prefixes.setdefault(run[offset], {})[offset, len(run)] = None
         self.words = frozenset(self.prefixes)
@@ -173,11 +171,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return joined.select("doc_id", n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *(c for c in rows.columns if c in keep and c != "doc_id"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns, whatever their names."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, origin: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns, whatever their names.
+
+    origin: the documents as they were before lines were taken out of them. A doc_id that is
+    contaminated there (in any of its rows) goes too: a passage that many documents share is
+    left in one of them, and the rest of the others still was written around it.
+    """
     names = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     found = find_hits(docs.withColumnsRenamed(names), benchmark, keep=("text", *names.values()))
     found = found.filter(~contaminated(F.col("n_hit"), F.col("n_words")))
+    if origin is not None:
+        was = find_hits(origin, benchmark).filter(contaminated(F.col("n_hit"), F.col("n_words")))
+        was = few(written(was.select(F.col("doc_id").alias("_was")).distinct(), "contaminated"))
+        found = found.join(was, F.col("doc_id") == F.col("_was"), "left_anti")
     return found.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 

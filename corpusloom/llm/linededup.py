@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE, mark, read, slices, written
+from corpusloom.llm import common
+from corpusloom.llm.common import SPACE, few, mark, read, slices, written
 from corpusloom.llm.components import components
 from corpusloom.llm.nearcopies import SIMILAR, jaccard, shingle_set
 from corpusloom.llm.simhash import forest
@@ -43,8 +44,6 @@ LEAST = CHARS_PER_EDIT
 #: Of documents that lose more than this share, `spare` asks whether they are near copies.
 HEAVY = 0.5
 BLOCK = 2048
-#: Rows of a few longs that are broadcast at most; more are met in a shuffled join.
-BROADCAST_IDS = 1_000_000
 #: Pairs and cells of one verification.
 PAIRS, CELLS = 8192, 1 << 21
 #: Buckets of the character counts that rule pairs out before verification.
@@ -317,11 +316,6 @@ def _key(docs: DataFrame) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), F.coalesce("text", F.lit("")))))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def line_links(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """id, id2, to, to2: links whose trees are the classes of different lines of docs that are near equal."""
 
@@ -357,14 +351,14 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK)
     # longs only: hot segments are combined in the tasks that read them
     met = keys().groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("own").cast("int")).alias("filed"), F.count("*").alias("n"))
     met = written(met.filter("low <> high and filed = 1").select(F.col("key").alias("met"), "n"), "met_keys")
-    if met.count() <= BROADCAST_IDS:
+    if met.count() <= common.BROADCAST_ROWS:
         found = keys(docs.sparkSession.sparkContext.broadcast(np.sort(met.select("met").toPandas()["met"].to_numpy(dtype=np.int64))))
     else:
         found = keys().join(met, F.col("key") == F.col("met"), "left_semi")
     found = written(found.groupBy("key", "id").agg(F.max(F.col("own").cast("int")).alias("own")), "candidates")
-    met = _few(met)
+    met = few(met)
     # two lines with one first hash both come along: what they are is told by both hashes and the text
-    ids = _few(written(found.select(F.col("id").alias("sought")).distinct(), "met_ids"))
+    ids = few(written(found.select(F.col("id").alias("sought")).distinct(), "met_ids"))
     texts = _lines(docs).filter(F.length("line") >= LEAST).select("id", "id2", "line")
     texts = texts.join(ids, F.col("id") == F.col("sought"), "left_semi").groupBy("id", "id2").agg(F.any_value("line").alias("line"))
     cuts = F.ceil(F.col("n") / block).cast("int")
@@ -419,11 +413,11 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK
 def removals(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """document (its key), removed array<int> (places of lines), lost (characters), kept_in array<long> (doc_ids), spots (place, size and keeper's document and place of each line)."""
     began = mark(docs.sparkSession)
-    classes = _few(line_classes(docs, threshold, block))
+    classes = few(line_classes(docs, threshold, block))
     met = _lines(docs).select("doc_id", "document", "place", F.length("line").alias("size"), "id", "id2").join(classes, ["id", "id2"])
     met = written(met.select("doc_id", "document", "place", "size", "root", "root2"), "class_lines")
     # partial minima: a hot class is one row for each task
-    keepers = _few(written(met.groupBy("root", "root2").agg(F.min(F.struct("doc_id", "document", "place")).alias("keeper")), "keepers"))
+    keepers = few(written(met.groupBy("root", "root2").agg(F.min(F.struct("doc_id", "document", "place")).alias("keeper")), "keepers"))
     found = met.join(keepers, ["root", "root2"]).filter(~((F.col("document") == F.col("keeper.document")) & (F.col("place") == F.col("keeper.place"))))
     spots = F.struct("place", "size", F.col("keeper.document").alias("keeper"), F.col("keeper.place").alias("keeper_place"))
     each = found.groupBy("document").agg(F.collect_set(spots).alias("spots"), F.array_sort(F.collect_set("keeper.doc_id")).alias("kept_in"))
@@ -490,7 +484,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK,
     else:
         gone = gone.withColumn("out", F.col("removed"))
     # few removed lines, as a rule: the texts stay where they are
-    few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= BROADCAST_IDS
+    few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= common.BROADCAST_ROWS
     gone = gone.select(F.col("document").alias("_ld_document"), F.struct("removed", "kept_in", "out").alias("_ld_gone"))
     sizes = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     measured = docs.withColumns({"_ld_document": _key(docs), "_ld_n": F.coalesce(sizes, F.lit(0))})

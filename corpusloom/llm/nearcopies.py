@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import join_each, mark, slices, written
+from corpusloom.llm.common import few, join_each, mark, slices, written
 from corpusloom.llm.components import components
 from corpusloom.llm.simhash import SEED, TILE, forest, majority, shingle_hashes
 
@@ -36,8 +36,6 @@ WORDS, FIRST_BITS, ALL_BITS = 3, 24, 58
 BLOCK, BLOCK_HASHES, COLUMNS = 512, 1 << 20, 4096
 #: Pairs for each set from which on blocks are compared whole.
 DENSE = 4
-#: Text ids (8 bytes each) that are broadcast at most; more are met in a shuffled join.
-BROADCAST_IDS = 2_000_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -222,8 +220,7 @@ def confirmed(found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: links whose trees hold all pairs of nodes that proposed() found and whose sets have a similarity of at least SIMILAR."""
     met = found.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     met = written(nodes.select("node", "text_id").join(met, "node", "left_semi"), "met_sets")
-    small = met.count() <= BROADCAST_IDS
-    texts = docs.select(F.xxhash64("text").alias("text_id"), "text").join(F.broadcast(met) if small else met, "text_id")
+    texts = docs.select(F.xxhash64("text").alias("text_id"), "text").join(few(met), "text_id")
     texts = texts.groupBy("node").agg(F.any_value("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 import random
 
-from corpusloom.llm import linededup
+from corpusloom.llm import common, linededup
 
 
 def test_shuffled_joins_find_the_same(spark, monkeypatch):
@@ -12,5 +12,5 @@ def test_shuffled_joins_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     told = lambda: sorted((r["doc_id"], r["text"], tuple(r["_lines"]["kept_in"])) for r in linededup.dedup_lines(df).collect())
     few = told()
-    monkeypatch.setattr(linededup, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     assert told() == few
