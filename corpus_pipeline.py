@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontamination, linededup, nearcopies, packing, toxicity
-from corpusloom.llm.common import read, written
+from corpusloom.llm.common import mark, read, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows hold less than a twentieth."""
-    return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark windows hold less than a twentieth, in their text as it is and in the one that they came with."""
+    return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"), origin=read(spark, sf_dir, "documents"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, began = read(spark, sf_dir, "documents"), mark(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}", began)
     return STAGES[-1][1](spark, docs, sf_dir)
