@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import file_order, read, slices, written
+from corpusloom.llm.common import few, file_order, read, slices, written
 
 SEQUENCE = 1024
 #: Tokens that a visit sends, or a multiple: pieces are not cut finer than that but at ends of documents and windows.
@@ -221,6 +221,7 @@ def queues(rows: DataFrame, targets: dict[str | None, float] | None, most: int)
     numbers = numbers.unionByName(small.select(F.col("queue").alias("source"), F.lit(len(large)).alias("number"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("base")))
     placed = starts.join(numbers, F.col("queue").eqNullSafe(F.col("source")))
     placed = placed.select("part", "queue", "number", (F.col("queue_start") + F.col("base")).alias("queue_start"))
+    placed = few(written(placed, "queues"))
     return placed, [(r["n"], r["weight"]) for r in large] + ([tuple(rest)] if rest[0] else [])
 
 

@@ -4,10 +4,12 @@ Groups are sorted by size, largest first; each enters the bin whose remaining ca
 least that still holds it, found in a balanced tree, and opens a new bin where none does. For
 a given number of bins the smallest capacity that needs no more of them is found by bisection.
 
-The driver packs a bounded number of items whatever the input: groups of at least
-1/BUNDLES of all bytes are items of their own (at most BUNDLES of them); smaller ones are
-bundled by hash into at most BUNDLES items, each far below a shard's capacity. Documents then find
-their shard by a map-side lookup: no text is ever shuffled.
+Groups of one size are packed together: a bin that takes one of them stays the tightest that
+holds the next, so k equal groups are runs of `room // size`. The driver sees one row for each
+different size of a group, never the groups: sizes that differ add up, so there are at most
+sqrt(2 * bytes) of them. Which groups of a size make up a run is told by their rank, counted in
+RANKS parts. Documents find their shard by their group's hash: no text is ever shuffled, and
+groups of many documents are met by broadcast.
 
 Null texts count as empty, in one group with empty ones. Rows with the same doc_id are placed
 one by one. Empty tables give no rows. Columns beyond doc_id and text are ignored.
@@ -20,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import file_order, read, slices, written
+from corpusloom.llm.common import few, file_order, join_each, mark, read, slices, written
 
-BUNDLES = 1 << 15
 SHARDS = 8
+#: Parts that groups of one size are ranked in.
+RANKS = 1024
 
 
 class _Node:
@@ -82,28 +85,32 @@ class Tree:
         return node.key
 
 
-def best_fit(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each item (sizes in decreasing order), or None where more than `most` bins are needed.
+def best_fit(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int, int]] | None:
+    """Runs (size, first, count, bin) of items, given as (size, count) in decreasing order of size, or None where more than `most` bins are needed.
 
     An item larger than the capacity gets a bin of its own.
     """
-    tree, bins, used = Tree(), [], 0
-    for size in sizes:
-        found = tree.take(size)
-        if found is None:
-            if used == most:
-                return None
-            found, used = (max(capacity, size), used), used + 1
-        room, bin_ = found
-        bins.append(bin_)
-        tree.add((room - size, bin_))
-    return bins
-
-
-def fit_into(sizes: list[int], shards: int) -> list[int]:
-    """best_fit with the smallest capacity that needs at most `shards` bins."""
-    low = max(-(-sum(sizes) // shards), 1)
-    high = low + max(sizes, default=0)  # enough: a bin that rejects an item is over the mean
+    tree, runs, used = Tree(), [], 0
+    for size, count in sizes:
+        first = 0
+        while first < count:
+            found = tree.take(size)
+            if found is None:
+                if used == most:
+                    return None
+                found, used = (max(capacity, size), used), used + 1
+            room, bin_ = found
+            fit = min(count - first, room // size)
+            runs.append((size, first, fit, bin_))
+            tree.add((room - fit * size, bin_))
+            first += fit
+    return runs
+
+
+def fit_into(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """best_fit with the smallest capacity, found by bisection, that needs at most `shards` bins."""
+    low = max(-(-sum(s * n for s, n in sizes) // shards), 1)
+    high = low + max((s for s, _ in sizes), default=0)  # enough: a bin that rejects an item is over the mean
     best = best_fit(sizes, high, shards)
     while low < high:
         middle = (low + high) // 2
@@ -112,17 +119,33 @@ def fit_into(sizes: list[int], shards: int) -> list[int]:
             low = middle + 1
         else:
             high, best = middle, found
-            if high - low <= low >> 14:
-                break
     return best if best is not None else best_fit(sizes, high)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
+def placed_groups(groups: DataFrame, shards: int) -> DataFrame:
+    """group, n, shard for groups (group, size, n)."""
+    spark = groups.sparkSession
+    sizes = sorted(((r["size"], r["count"]) for r in groups.groupBy("size").count().collect()), reverse=True)  # at most sqrt(2 * bytes) rows
+    runs = fit_into(sizes, shards)
+    count = dict(sizes)
+    whole = spark.createDataFrame([(s, b) for s, _, n, b in runs if n == count[s]], "size long, shard int")
+    cut = F.broadcast(spark.createDataFrame([(s, a, a + n, b) for s, a, n, b in runs if n < count[s]], "of long, low long, high long, shard int"))  # runs that a bin's end cuts
+    named = groups.join(few(written(whole, "sizes")), "size").select("group", "n", "shard")
+    some = groups.join(cut.select(F.col("of").alias("size")).distinct(), "size", "left_semi").withColumn("part", F.pmod(F.xxhash64("group"), F.lit(RANKS)))
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = some.groupBy("size", "part").count().select("size", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("size", "part").orderBy("group")) - 1 + F.col("before")
+    ranked = some.join(starts, ["size", "part"]).select("group", "n", "size", rank.alias("rank"))
+    ranked = ranked.join(cut, (F.col("size") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return named.unionByName(ranked.select("group", "n", "shard"))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: equal texts share a shard, shards have nearly equal bytes.
 
     A group larger than a shard's fair part fills a shard beyond it: groups are indivisible.
     """
-    spark = docs.sparkSession
+    began = mark(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -130,28 +153,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("group"),
     )
-    groups = written(rows.groupBy("group").agg(F.sum("size").alias("size")), "groups")
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    large = (F.col("size") * bundles >= total)
-    alone = [(bytes(r["group"]), r["size"]) for r in groups.filter(large).collect()]  # at most `bundles` rows
-    bundle = F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int")
-    rest = groups.filter(~large).groupBy(bundle.alias("bundle")).agg(F.sum("size").alias("size")).collect()  # at most `bundles` rows
-    items = sorted([(s, g) for g, s in alone] + [(r["size"], r["bundle"]) for r in rest], key=lambda x: (-x[0], str(x[1])))
-    bins = fit_into([s for s, _ in items], shards)
-    place = {g: b for (_, g), b in zip(items, bins, strict=True)}
-    plan = spark.sparkContext.broadcast(({g: b for g, b in place.items() if isinstance(g, bytes)}, np.array([place.get(i, 0) for i in range(bundles)], dtype=np.int64)))
+    rows = written(rows, "sized")
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "groups")
+    named = written(placed_groups(groups, shards), "placed")
+    found = join_each(rows, named, "group", rows.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, (own, by_bundle) = TaskContext.get().partitionId(), plan.value
-        seen = np.zeros(shards, dtype=np.int64)
+        part, seen = TaskContext.get().partitionId(), np.zeros(shards, dtype=np.int64)
         for batch in slices(batches):
-            to = by_bundle[batch.column("bundle").to_numpy()]
-            if own:
-                for i, group in enumerate(batch.column("group").to_pylist()):
-                    if group in own:
-                        to[i] = own[group]
+            to = batch.column("shard").to_numpy().astype(np.int64)
             at = np.empty(len(to), dtype=np.int64)
             for s in range(shards):
                 mine = np.flatnonzero(to == s)
@@ -160,9 +172,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
             one = np.ones(len(to), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "size", "text_crc32")), pa.array(to), pa.array(at), pa.array(one * part), pa.array(one)], names=["doc_id", "size", "text_crc32", "shard", "at", "part", "one"])
 
-    dealt = rows.select("doc_id", "size", "text_crc32", "group", bundle.alias("bundle")).mapInArrow(run, "doc_id long, size long, text_crc32 long, shard long, at long, part long, one long")
-    dealt = written(dealt, "dealt")
-    starts = written(file_order("part", ["shard"], dealt, "one", "before"), "slots")
+    dealt = found.select("doc_id", "size", "text_crc32", "shard").mapInArrow(run, "doc_id long, size long, text_crc32 long, shard long, at long, part long, one long")
+    dealt = written(dealt, "dealt", began)
+    starts = few(written(file_order("part", ["shard"], dealt, "one", "before"), "slots"))
     return dealt.join(starts, ["part", "shard"]).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("at")).alias("slot"))
 
 

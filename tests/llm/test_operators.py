@@ -446,21 +446,46 @@ def test_context_raises_scores(spark):
 # sharding
 
 
+def one_by_one(sizes, capacity):
+    """The bin of each item, the tightest that holds it."""
+    room, out = [], []
+    for s in sizes:
+        fits = [(r, b) for b, r in enumerate(room) if r >= s]
+        b = min(fits)[1] if fits else len(room)
+        if not fits:
+            room.append(max(capacity, s))
+        room[b] -= s
+        out.append(b)
+    return out
+
+
+def grouped(sizes):
+    return sorted(collections.Counter(sizes).items(), reverse=True)
+
+
+def in_items(runs):
+    return [b for _, _, n, b in runs for _ in range(n)]
+
+
 def test_best_fit_by_hand():
     rng = random.Random(6)
     for _ in range(60):
-        sizes = sorted((rng.randint(1, 50) for _ in range(rng.randint(0, 40))), reverse=True)
-        room, want = [], []
-        for s in sizes:
-            fits = [(r, b) for b, r in enumerate(room) if r >= s]
-            b = min(fits)[1] if fits else len(room)
-            if not fits:
-                room.append(60)
-            room[b] -= s
-            want.append(b)
-        assert sharding.best_fit(sizes, 60) == want
-        bins = sharding.fit_into(sizes, 4)
-        assert len(bins) == len(sizes) and all(0 <= b < 4 for b in bins)
+        sizes = sorted((rng.randint(1, 70) for _ in range(rng.randint(0, 40))), reverse=True)
+        assert in_items(sharding.best_fit(grouped(sizes), 60)) == one_by_one(sizes, 60)
+        bins = in_items(sharding.fit_into(grouped(sizes), 4))
+        assert len(bins) == len(sizes) and (max(sizes, default=0) > 60 or all(0 <= b < 4 for b in bins))
+
+
+def test_best_fit_of_many_groups():
+    rng = random.Random(7)
+    sizes = sorted((min(int(rng.paretovariate(1.1) * 50), 900_000) for _ in range(100_000)), reverse=True)
+    runs = sharding.fit_into(grouped(sizes), 8)
+    held = collections.Counter()
+    for size, _, n, b in runs:
+        held[b] += size * n
+    # the capacity is that of the fullest bin: one item after the other gives the same bins
+    assert in_items(runs) == one_by_one(sizes, max(held.values())) or in_items(runs) == one_by_one(sizes, max(held.values()) + 1)
+    assert len(held) == 8 and max(held.values()) - min(held.values()) < 0.001 * max(held.values())
 
 
 def test_sharding(odd, texts, empty):
@@ -481,8 +506,8 @@ def test_sharding(odd, texts, empty):
 def test_shards_are_even(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([(i, "x" * rng.randint(1, 900) + str(i // 2)) for i in range(4000)], "doc_id long, text string")
-    sums = [r[0] for r in sharding.shard(df, bundles=256).groupBy("shard").sum("size").select("sum(size)").collect()]
-    assert len(sums) == 8 and max(sums) - min(sums) < 0.02 * max(sums)
+    sums = [r[0] for r in sharding.shard(df).groupBy("shard").sum("size").select("sum(size)").collect()]
+    assert len(sums) == 8 and max(sums) - min(sums) < 0.002 * max(sums)
 
 
 # decontamination
