@@ -22,17 +22,19 @@ judged AS (SELECT doc_id, text, w, lines, coalesce(n, 0) AS n_repeat,
   FROM split LEFT JOIN repeated USING (doc_id)),
 measured AS (SELECT doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat AS n_repeat_words, len(lines) AS n_lines, len(bad) AS n_bad_lines,
-  coalesce(length(list_aggregate(lines, 'string_agg', '')), 0) AS chars, coalesce(length(list_aggregate(bad, 'string_agg', '')), 0) AS lost_chars FROM judged)
+  coalesce(length(list_aggregate(lines, 'string_agg', '')), 0) AS chars, coalesce(length(list_aggregate(bad, 'string_agg', '')), 0) AS lost_chars,
+  sha256(coalesce(array_to_string(list_filter(lines, lambda x: NOT list_contains(bad, x)), chr(10)), '')) AS cleaned_sha256 FROM judged)
 SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= {quality.MAX_LOST_SHARE}::DOUBLE * chars AS kept,
-  n_lines::BIGINT AS n_lines, n_bad_lines::BIGINT AS n_bad_lines, chars::BIGINT AS chars, lost_chars::BIGINT AS lost_chars FROM measured
+  n_lines::BIGINT AS n_lines, n_bad_lines::BIGINT AS n_bad_lines, chars::BIGINT AS chars, lost_chars::BIGINT AS lost_chars, cleaned_sha256 FROM measured
 """
 
 _LUHN = """list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(d), i, 1)::INT
  ELSE CASE WHEN substr(reverse(d), i, 1)::INT > 4 THEN substr(reverse(d), i, 1)::INT * 2 - 9 ELSE substr(reverse(d), i, 1)::INT * 2 END END)) % 10 = 0"""
 # letters of an IBAN count as 10 to 35, marked by 100 more; the remainder is taken sign by sign
-_MOD97 = """length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: c <> ''),
+_WRONG = " OR ".join(f"(substr(m, 1, 2) IN ({', '.join(repr(c) for c in codes.split())}) AND length(replace(m, ' ', '')) <> {n})" for n, codes in pii.IBAN_LENGTHS.items())
+_MOD97 = f"NOT ({_WRONG}) AND NOT regexp_matches(substr(text, pos + length(m) + 1, 1), '[A-Z0-9]') AND " + """length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: c <> ''),
  lambda c: (CASE WHEN ascii(c) >= 65 THEN 100 + ascii(c) - 55 ELSE ascii(c) - 48 END)::BIGINT)), lambda a, x: CASE WHEN x >= 100 THEN (a * 100 + x - 100) % 97 ELSE (a * 10 + x) % 97 END) = 1"""
 _NEAR = f"lower(substr(text, greatest(pos + 1 - {pii.CONTEXT_CHARS}, 1), pos + length(m) + 1 + {pii.CONTEXT_CHARS} - greatest(pos + 1 - {pii.CONTEXT_CHARS}, 1)))"
 
@@ -49,19 +51,21 @@ _BASE = [k for k, (n, _, _) in _KINDS.items() if n <= 4]
 
 def _spans(kind: str) -> str:
     number, pattern, test = _KINDS[kind]
+    own = next(k for k in pii.KINDS if k.name == kind)
     return f"""
 k{number} AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM docs WHERE regexp_matches(text, '{pattern}')),
 e{number} AS (SELECT *, unnest(generate_series(1, len(ms))) AS k FROM k{number}),
 s{number} AS (SELECT doc_id, text, {number} AS ord, '{kind}' AS kind, (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::BIGINT AS pos, ms[k] AS m, regexp_replace(ms[k], '[^0-9]', '', 'g') AS d FROM e{number}),
-f{number} AS (SELECT doc_id, ord, kind, pos, pos + length(m) AS stop FROM s{number} WHERE {test})"""
+f{number} AS (SELECT doc_id, ord, kind, pos, pos + length(m) AS stop, least(100, {round(100 * own.score)} + CASE WHEN regexp_matches({_NEAR}, '{own.context}') THEN {round(100 * pii.CONTEXT_GAIN)} ELSE 0 END) AS score FROM s{number} WHERE {test})"""
 
 
 _PII = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(map(_spans, _KINDS))},
 found AS ({" UNION ALL ".join(f"SELECT * FROM f{n}" for n, _, _ in _KINDS.values())}),
 told AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _BASE)}, string_agg(kind || ':' || pos || ':' || stop, ',' ORDER BY ord, pos) AS spans,
-  string_agg(kind || ':' || pos || ':' || stop, ',' ORDER BY ord, pos) FILTER (ord <= 4) AS base FROM found GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN told USING (doc_id)
+  string_agg(kind || ':' || pos || ':' || stop, ',' ORDER BY ord, pos) FILTER (ord <= 4) AS base,
+  string_agg(score::VARCHAR, ',' ORDER BY ord, pos) AS scores FROM found GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM docs LEFT JOIN told USING (doc_id)
 """
 
 _DECONTAMINATION = r"""

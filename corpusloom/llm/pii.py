@@ -27,12 +27,8 @@ IBAN_LENGTHS = {
     25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
     28: "AL AZ BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
-IBAN = (
-    "(?=[A-Z]{2}[0-9]{2})(?:"
-    + "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Z0-9])" for n, codes in IBAN_LENGTHS.items())
-    # other codes have no known length
-    + f"|(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})"
-)
+#: The codes with a known length, then any others; one pattern that Java and RE2 read alike.
+IBAN = "(?:" + "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()) + "|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 
 #: For each kind the score a confirmed span starts with, and words that raise it by CONTEXT_GAIN.
@@ -60,6 +56,10 @@ KINDS = (
 )
 
 
+#: Characters of a text that are cut out together.
+BLOCK = 1000
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value computed once however often it appears in use."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -90,7 +90,11 @@ def mod97(iban: Column) -> Column:
         return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
 
     chars = F.filter(F.split(turned, ""), lambda c: c != "")
-    return F.length(plain).between(15, 34) & (F.aggregate(chars, F.lit(0), add) == 1)
+    # too few characters for the country's length match as another code would
+    wrong = F.lit(False)
+    for n, codes in IBAN_LENGTHS.items():
+        wrong = wrong | F.substring(plain, 1, 2).isin(codes.split()) & (F.length(plain) != n)
+    return F.length(plain).between(15, 34) & ~wrong & (F.aggregate(chars, F.lit(0), add) == 1)
 
 
 #: Four numbers of at most 255 each; leading zeros do not count.
@@ -113,32 +117,53 @@ def confirmed(kind: str, match: Column) -> Column:
 def _located(text: Column, kind: Kind, matches: Column) -> Column:
     """array<struct<start,stop,match>>: what stands between the matches tells where they are."""
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), pair["match"].alias("match"))
-        return F.struct(stop.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
+    # running sums by doubling: places of as many matches as there are, each step adds the sums that lie 2**k back
     gaps = F.split(text, kind.pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,match:string>>)")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+    return F.zip_with(running(sizes), matches, lambda stop, m: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("match")))
+
+
+def running(sizes: Column) -> Column:
+    """The sums of an array's numbers up to each of them, in n log n steps."""
+
+    def step(sums: Column, back: Column) -> Column:
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0)))
 
+    steps = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.greatest(F.size(sizes), F.lit(1)))) - 1), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, sizes, step)
 
-def _scored(text: Column, kind: Kind, spans: Column) -> Column:
-    """Keep confirmed spans; a context word near one raises its score; kinds of the method need KEEP."""
+
+def _scored(blocks: Column, kind: Kind, spans: Column) -> Column:
+    """Keep confirmed spans; a context word near one raises its score; kinds of the method need KEEP.
+
+    blocks are the text in runs of BLOCK characters: what lies around a span is read from the few it touches.
+    """
+
+    def around(start: Column, stop: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        some = F.array_join(F.slice(blocks, first + 1, F.floor(stop / BLOCK).cast("int") - first + 1), "")
+        return F.substring(some, start - first * BLOCK + 1, stop - start)
 
     def score(span: Column) -> Column:
-        first = F.greatest(span["start"] + 1 - CONTEXT_CHARS, F.lit(1))
-        near = F.lower(F.substring(text, first, span["stop"] + 1 + CONTEXT_CHARS - first))
+        near = F.lower(around(F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)), span["stop"] + CONTEXT_CHARS))
         bonus = F.when(near.rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
         value = F.least(F.lit(1.0), F.lit(kind.score) + bonus)
         return F.struct(F.lit(kind.name).alias("kind"), span["start"].alias("start"), span["stop"].alias("stop"), value.alias("score"))
 
-    kept = F.transform(F.filter(spans, lambda s: confirmed(kind.name, s["match"])), score)
+    def sure(span: Column) -> Column:
+        own = confirmed(kind.name, span["match"])
+        # no letter or digit may follow an IBAN
+        return own & ~around(span["stop"], span["stop"] + 1).rlike("[A-Z0-9]") if kind.name == "iban" else own
+
+    kept = F.transform(F.filter(spans, sure), score)
     return kept if kind.base else F.filter(kept, lambda s: s["score"] >= KEEP)
 
 
+def _found(text: Column, kind: Kind, matches: Column) -> Column:
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(blocks, lambda b: let(_located(text, kind, matches), lambda spans: _scored(b, kind, spans)))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id and spans array<struct<kind,start,stop,score>>, by kind as in KINDS, then start.
 
@@ -156,13 +181,14 @@ def find_pii(docs: DataFrame) -> DataFrame:
     spans = []
     for kind in KINDS:
         m = F.col(f"m_{kind.name}")
-        spans.append(F.when(F.size(m) > 0, _scored(F.col("text"), kind, _located(F.col("text"), kind, m))).otherwise(no_spans))
+        spans.append(F.when(F.size(m) > 0, _found(F.col("text"), kind, m)).otherwise(no_spans))
     return found.select("doc_id", F.concat(*spans).alias("spans"))
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     from corpusloom.llm.common import read
 
+    # scores in hundredths, in the order of the spans
     found = find_pii(read(spark, sf_dir, "documents"))
     base = [k.name for k in KINDS if k.base]
 
@@ -177,4 +203,5 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
         *map(count, base),
         F.sha2(told(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"),
     )

@@ -32,8 +32,6 @@ BOILERPLATE = (
 
 #: Each 3-word window of a flat text, one word further each time.
 WINDOWS = "(?=([^ ]+ [^ ]+ [^ ]+))[^ ]+ "
-#: Windows are numbered in the low bits of their hashes.
-PLACE_BITS = 20
 
 
 def flat(text: Column) -> Column:
@@ -49,30 +47,36 @@ def repeated_words(words: Column) -> Column:
     """Number of words of a flat text that lie in a 3-word window found twice or more.
 
     Texts without an equal pair of windows stop after a hash set. The others sort longs of a
-    window's hash, high, and its place, low; neighbours with equal hashes are compared as
-    text; what the repeated windows cover adds up to the number of words.
+    window's hash, high, and its place, low, in as many bits as the places need; neighbours with
+    equal hashes are compared as text, and where two texts share a hash each is compared with
+    all of that hash. What the repeated windows cover adds up to the number of words.
     """
-    mask = (1 << PLACE_BITS) - 1
 
-    def places(grams: Column) -> Column:
-        def equal(x: Column, y: Column) -> Column:
-            return (F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)) & (F.get(grams, x.bitwiseAND(mask).cast("int")) == F.get(grams, y.bitwiseAND(mask).cast("int")))
+    def places(grams: Column, bits: Column) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+        place = lambda x: x.bitwiseAND(mask).cast("int")
+        high = lambda x: x.bitwiseAND(F.bitwise_not(mask))
+        gram = lambda x: F.get(grams, place(x))
 
-        keys = F.sort_array(F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(~mask).bitwiseOR(i.cast("long"))))
-        near = lambda s: F.filter(s, lambda x, k: F.coalesce(equal(x, F.get(s, k - 1)), F.lit(False)) | F.coalesce(equal(x, F.get(s, k + 1)), F.lit(False)))
-        return F.sort_array(F.transform(let(keys, near), lambda x: x.bitwiseAND(mask)))
+        def again(keys: Column) -> Column:
+            def told(x: Column, k: Column) -> Column:
+                beside = [F.get(keys, k - 1), F.get(keys, k + 1)]
+                met = [F.coalesce(high(y) == high(x), F.lit(False)) for y in beside]
+                equal = [m & (gram(y) == gram(x)) for m, y in zip(met, beside, strict=True)]
+                shared = F.exists(keys, lambda y: (y != x) & (high(y) == high(x)) & (gram(y) == gram(x)))
+                return F.when(equal[0] | equal[1], True).when(met[0] | met[1], shared).otherwise(False)
 
-    def places_of_long(grams: Column) -> Column:
-        pairs = F.sort_array(F.transform(grams, lambda g, i: F.struct(F.xxhash64(g).alias("h"), i.cast("long").alias("i"))))
-        same = lambda s, x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
-        return F.sort_array(F.transform(let(pairs, lambda s: F.filter(s, lambda x, k: same(s, x, k - 1) | same(s, x, k + 1))), lambda x: x["i"]))
+            return F.filter(keys, told)
+
+        keys = F.sort_array(F.transform(grams, lambda g, i: high(F.xxhash64(g)).bitwiseOR(i.cast("long"))))
+        return F.sort_array(F.transform(let(keys, again), place))
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - x), F.lit(3)))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def count(grams: Column) -> Column:
-        found = F.when(F.size(grams) <= mask, places(grams)).otherwise(places_of_long(grams))
+        found = let(F.length(F.bin(F.size(grams))), lambda bits: places(grams, bits))
         return F.when(F.size(F.array_distinct(grams)) < F.size(grams), let(found, covered)).otherwise(F.lit(0).cast("long"))
 
     return let(F.regexp_extract_all(words, F.lit(WINDOWS), F.lit(1)), count)
@@ -114,17 +118,19 @@ def judge(docs: DataFrame) -> DataFrame:
         F.col("text").rlike("!!|[»·•]").alias("marked"),
     )
     noisy = F.col("marked") | (F.col("n_symbols") > 0)
-    judged = counted.select("*", F.when(noisy, F.filter("lines", lambda x: noisy_line(x) | bad_line(x))).otherwise(F.filter("lines", bad_line)).alias("bad"))
+    good = F.when(noisy, F.filter("lines", lambda x: ~(noisy_line(x) | bad_line(x)))).otherwise(F.filter("lines", lambda x: ~bad_line(x)))
+    judged = counted.select("*", good.alias("good"))
     size = lambda c: F.length(F.array_join(c, "")).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
-    measured = judged.select("*", failed.alias("base_failed"), size("lines").alias("chars"), size("bad").alias("lost_chars"))
+    measured = judged.select("*", failed.alias("base_failed"), size("lines").alias("chars"), (size("lines") - size("good")).alias("lost_chars"))
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("lost_chars") <= MAX_LOST_SHARE * F.col("chars"))).alias("kept"),
-        F.size("lines").cast("long").alias("n_lines"), F.size("bad").cast("long").alias("n_bad_lines"), "chars", "lost_chars",
-        F.array_join(F.filter("lines", lambda x: ~F.array_contains("bad", x)), "\n").alias("cleaned"),
+        F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("good")).cast("long").alias("n_bad_lines"), "chars", "lost_chars",
+        F.array_join("good", "\n").alias("cleaned"),
     )
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "documents")).drop("cleaned")
+    """The contract's columns, the lines' counts, and a digest of the text without its bad lines."""
+    return judge(read(spark, sf_dir, "documents")).withColumn("cleaned_sha256", F.sha2("cleaned", 256)).drop("cleaned")
