@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import pii, quality
+from corpusloom.llm import licenses, pii, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,4 +84,31 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN owners USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op3_quality": _QUALITY, "op8_pii": _PII, "op10_decontamination": _DECONTAMINATION}
+
+def _licences() -> str:
+    """The fitted table as constants: the same scores, line by line."""
+    families, weights, biases, temperature = licenses.model()
+    n = len(families)
+    rows = ", ".join(f"('{g}', {w})" for g, w in weights.items())
+    known = ", ".join(f"('{g}', {[families.index(f) + 1 for f in fs]})" for g, fs in licenses.shingle_owners().items())
+    grams = lambda k: f"list_distinct(list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')))"
+    return f"""
+WITH weights(g, v) AS (VALUES {rows}), known(g, owners) AS (VALUES {known}),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM lines WHERE regexp_matches(line, '{WORD}')),
+shingles AS (SELECT id, unnest({grams(3)}) AS g FROM numbered WHERE len(w) >= 3),
+hinted AS (SELECT * FROM numbered SEMI JOIN (SELECT id FROM shingles SEMI JOIN known USING (g)) USING (id)),
+all_grams AS (SELECT id, unnest(list_concat({grams(1)}, {grams(2)}, {grams(3)})) AS g FROM hinted),
+sums AS (SELECT id, count(*) AS n, {", ".join(f"coalesce(sum(v[{i + 1}]), 0) AS s{i}" for i in range(n))} FROM all_grams LEFT JOIN weights USING (g) GROUP BY id),
+shared AS (SELECT id, count(*) AS n3, {", ".join(f"count(*) FILTER (list_contains(owners, {i + 1})) AS o{i}" for i in range(n - 1))} FROM shingles LEFT JOIN known USING (g) GROUP BY id),
+scored AS (SELECT id, [{", ".join(f"(s{i} / sqrt(n) + {biases[i]}) / {temperature!r}" for i in range(n))}] AS z, [{", ".join(f"o{i}::DOUBLE / n3" for i in range(n - 1))}, 0] AS shares FROM sums JOIN shared USING (id)),
+best AS (SELECT id, z, shares, list_position(z, list_max(z)) AS k FROM scored),
+sure AS (SELECT id, {families}[k] AS family FROM best WHERE k < {n} AND 1 / list_sum(list_transform(z, lambda v: exp(v - list_max(z)))) >= {licenses.MIN_PROBABILITY} AND shares[k] >= {licenses.MIN_OVERLAP}),
+found AS (SELECT doc_id, count(*) AS n_lines, count(family) AS n, coalesce(array_to_string(list_sort(list(DISTINCT family) FILTER (family IS NOT NULL)), ','), '') AS families FROM numbered LEFT JOIN sure USING (id) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_license_lines, (coalesce(n_lines, 0) - coalesce(n, 0))::BIGINT AS n_unknown_lines, coalesce(families, '') AS families FROM documents d LEFT JOIN found f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
+"""
+
+
+def sql() -> dict[str, str]:
+    """The SQL of each query that has one."""
+    return {"op3_quality": _QUALITY, "op5_licenses": _licences(), "op8_pii": _PII, "op10_decontamination": _DECONTAMINATION}

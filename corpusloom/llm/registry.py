@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in oracle.SQL.items() if name in queries()}
+    return oracle.sql()
