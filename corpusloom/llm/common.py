@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words in the contracts, as a Java and RE2 class body.
 SPACE = r"\x20\x09-\x0D"
-#: Rows that become Python objects at a time; Spark bounds the bytes of a batch.
-BATCH_ROWS = 1000
+#: Rows that become Python objects at a time, and bytes of a batch of a table that is written here.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Rows of a few longs that are broadcast at most; more are met in a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
@@ -51,6 +52,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the Arrow batches of what runs meanwhile; the session's own settings come back."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    own = {k: spark.conf.get(k) for k in bounds}
+    for k, v in bounds.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 #: Paths of written tables by application.
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -72,7 +87,8 @@ def written(df: DataFrame, name: str, since: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     if since is not None:
         drop_written(spark, since)
     _paths(spark).append(path)

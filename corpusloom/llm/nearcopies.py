@@ -34,6 +34,8 @@ SHINGLE, SIMILAR = 5, 0.8
 WORDS, FIRST_BITS, ALL_BITS = 3, 24, 58
 #: Sets in a block and the hashes they hold together, at most (one set may hold more); columns of a product.
 BLOCK, BLOCK_HASHES, COLUMNS = 512, 1 << 20, 4096
+#: Fingerprints that are compared at a time.
+COMPARED = 1 << 18
 #: Pairs for each set from which on blocks are compared whole.
 DENSE = 4
 
@@ -95,14 +97,14 @@ def like_sets(x: np.ndarray, y: np.ndarray, same: bool, whole: bool) -> Iterator
     rng, at = np.random.default_rng(SEED), 0
     while at < len(x):
         low = int(np.searchsorted(n_y, SIMILAR * n_x[at] - 1e-6))
-        part = x[at : at + max(1, (1 << 21) // max(1, len(y) - low))]
+        part = x[at : at + max(1, COMPARED // max(1, len(y) - low))]
         right = y[low : int(np.searchsorted(n_y, n_x[at + len(part) - 1] / SIMILAR + 1e-6, side="right"))]
         i, j = np.nonzero(np.bitwise_count(part[:, 2][:, None] ^ right[:, 2][None, :]) <= FIRST_BITS)
-        bits = np.zeros(len(i), dtype=np.int64)
+        bits = np.zeros(len(i), dtype=np.uint16)
         for k in range(WORDS):
             bits += np.bitwise_count(part[i, 2 + k] ^ right[j, 2 + k])
-        sizes = np.stack([part[i, 0], right[j, 0]]).astype(np.float64)
-        near = (bits <= ALL_BITS) & (sizes.min(axis=0) >= SIMILAR * sizes.max(axis=0) - 1e-6)
+        m, n = n_x[i + at], n_y[j + low]
+        near = (bits <= ALL_BITS) & (np.minimum(m, n) >= SIMILAR * np.maximum(m, n) - 1e-6)
         i, j = i[near] + at, j[near] + low
         if same:
             i, j = i[i < j], j[i < j]

@@ -46,7 +46,6 @@ CELLS = 1 << 20
 END = 0
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -95,9 +94,10 @@ class Coder:
     """
 
     def __init__(self, path: str):
-        self.code = _tokenizer(path)
-        self.fast = _fast_coder(self.code)
-        self.type = np.dtype("<u2" if self.code.get_vocab_size() <= 1 << 16 else "<u4")
+        code = _tokenizer(path)
+        self.fast = _fast_coder(code)
+        self.type = np.dtype("<u2" if code.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = None if self.fast else code  # a worker keeps one of them
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:

@@ -28,6 +28,8 @@ from corpusloom.llm.components import components
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one tile, on average at most; a pair of tiles is one piece of work.
 TILE = 32_768
+#: Fingerprints that are compared at a time.
+COMPARED = 1 << 19
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -103,7 +105,7 @@ def close_pairs(x: np.ndarray, y: np.ndarray, radius: int, same: bool) -> np.nda
             continue
         cols = np.concatenate([y_at[m] for m in near])
         right = y[cols]
-        step = max(1, (1 << 21) // len(cols))
+        step = max(1, COMPARED // len(cols))
         for at in range(0, len(rows), step):
             part = rows[at : at + step]
             i, j = np.nonzero(np.bitwise_count(x[part][:, None] ^ right[None, :]) <= radius)
