@@ -123,26 +123,53 @@ def like_sets(x: np.ndarray, y: np.ndarray, same: bool, whole: bool) -> Iterator
         at += len(part)
 
 
-def _blocks(n: np.ndarray) -> list[np.ndarray]:
-    """Cut rows with these set sizes into blocks."""
-    number, size, count = np.zeros(len(n), dtype=np.int64), 0, 0
-    for i, more in enumerate(n.tolist()):
+def _blocks(n: np.ndarray) -> np.ndarray:
+    """The block of each row, by size of its set, so that blocks hold at most BLOCK rows and BLOCK_HASHES hashes (or one row)."""
+    out, number, size, count = np.zeros(len(n), dtype=np.int64), 0, 0, 0
+    for i in np.argsort(n, kind="stable").tolist():
+        more = int(n[i])
         count, size = count + 1, size + more
-        new = i and (count > BLOCK or size > BLOCK_HASHES)
-        if new:
-            count, size = 1, more
-        number[i] = number[i - 1] + new if i else 0
-    return [np.flatnonzero(number == k) for k in range(int(number[-1]) + 1)] if len(n) else []
+        if count > 1 and (count > BLOCK or size > BLOCK_HASHES):
+            number, count, size = number + 1, 1, more
+        out[i] = number
+    return out
+
 
+class Cells:
+    """Pairs of rows by the blocks that they are in: told one by one, or as two sets of rows where there are many.
+
+    A cell keeps at most DENSE pairs for each of its rows, and then only which rows they join.
+    """
 
-def dealt(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of blocks of nodes that hold all pairs (a, b); n_a and n_b are the sizes of their sets."""
-    left, at_left, i = np.unique(a, return_index=True, return_inverse=True)
-    right, at_right, j = np.unique(b, return_index=True, return_inverse=True)
-    rows, columns = _blocks(n_a[at_left]), _blocks(n_b[at_right])
-    block_of = lambda blocks, n: np.repeat(np.arange(len(blocks)), [len(x) for x in blocks]) if n else np.zeros(0, int)
-    for both in np.unique(block_of(rows, len(left))[i] * len(columns) + block_of(columns, len(right))[j]):
-        yield left[rows[both // len(columns)]], right[columns[both % len(columns)]]
+    def __init__(self, n_x: np.ndarray, n_y: np.ndarray):
+        self.x, self.y = _blocks(n_x), _blocks(n_y)
+        self.columns = int(self.y.max(initial=0)) + 1
+        self.sizes = [np.bincount(b, minlength=1) for b in (self.x, self.y)]
+        self.pairs: dict[int, list[np.ndarray]] = {}
+        self.dense: dict[int, tuple[set[int], set[int]]] = {}
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        cell = self.x[i] * self.columns + self.y[j]
+        order = np.argsort(cell, kind="stable")
+        i, j, cell = i[order], j[order], cell[order]
+        stops = [*np.flatnonzero(np.diff(cell)) + 1, len(cell)] if len(cell) else []
+        at = 0
+        for stop in stops:
+            k, rows, columns = int(cell[at]), i[at:stop], j[at:stop]
+            at = stop
+            if k in self.dense:
+                self._mark(k, rows, columns)
+                continue
+            held = self.pairs.setdefault(k, [])
+            held.append(np.stack([rows, columns]))
+            if sum(p.shape[1] for p in held) > DENSE * (self.sizes[0][k // self.columns] + self.sizes[1][k % self.columns]):
+                for p in self.pairs.pop(k):
+                    self._mark(k, p[0], p[1])
+
+    def _mark(self, k: int, rows: np.ndarray, columns: np.ndarray) -> None:
+        left, right = self.dense.setdefault(k, (set(), set()))
+        left.update(np.unique(rows).tolist())
+        right.update(np.unique(columns).tolist())
 
 
 def proposed(nodes: DataFrame, whole: bool, tile: int = TILE) -> DataFrame:
@@ -188,14 +215,21 @@ def proposed(nodes: DataFrame, whole: bool, tile: int = TILE) -> DataFrame:
                     fields = batch.column(c)[row].values.flatten()
                     sides.append(np.stack([f.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for f in fields], axis=1))
                 x, y = sides
-                for i, j in like_sets(x[:, 1:], y[:, 1:], batch.column("same")[row].as_py(), whole):
-                    a, b = x[i, 0], y[j, 0]
-                    if not whole or len(a) <= DENSE * (len(np.unique(a)) + len(np.unique(b))):
-                        yield told(a, b)
-                        continue
-                    for left, right in dealt(a, b, x[i, 1], y[j, 1]):
-                        number = xxh64_intdigest(left.tobytes() + b"|" + right.tobytes(), SEED)
-                        yield told(left, right, int(np.uint64(number).view(np.int64)))
+                found = like_sets(x[:, 1:], y[:, 1:], batch.column("same")[row].as_py(), whole)
+                if not whole:
+                    for i, j in found:
+                        yield told(x[i, 0], y[j, 0])
+                    continue
+                cells = Cells(x[:, 1], y[:, 1])
+                for i, j in found:
+                    cells.add(i, j)
+                for held in cells.pairs.values():
+                    i, j = np.concatenate(held, axis=1)
+                    yield told(x[i, 0], y[j, 0])
+                for left, right in cells.dense.values():
+                    a, b = x[sorted(left), 0], y[sorted(right), 0]
+                    number = xxh64_intdigest(a.tobytes() + b"|" + b.tobytes(), SEED)
+                    yield told(a, b, int(np.uint64(number).view(np.int64)))
 
     return pairs.mapInArrow(run, "a long, b long, block long")
 

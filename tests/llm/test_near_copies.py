@@ -57,13 +57,21 @@ def test_near_copies_on_odd_rows(spark, odd, empty):
     assert corpus_pipeline.dedup_documents(spark, empty, "").count() == 0
 
 
-def test_blocks_hold_all_pairs(monkeypatch):
-    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+def test_cells_hold_all_pairs(monkeypatch):
     rng = np.random.default_rng(1)
-    sizes = rng.integers(1, 500, 40)
-    a, b = rng.integers(0, 20, 200), rng.integers(20, 40, 200)
-    got = {(x, y) for left, right in nearcopies.dealt(a, b, sizes[a], sizes[b]) for x in left.tolist() for y in right.tolist()}
-    assert got >= set(zip(a.tolist(), b.tolist()))
+    for block, dense in ((4, 1), (4, 100), (50, 0)):
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        monkeypatch.setattr(nearcopies, "DENSE", dense)
+        n_x, n_y = rng.integers(1, 500, 20).astype(np.uint64), rng.integers(1, 500, 25).astype(np.uint64)
+        cells, want = nearcopies.Cells(n_x, n_y), set()
+        for _ in range(4):
+            i, j = rng.integers(0, 20, 60), rng.integers(0, 25, 60)
+            cells.add(i, j)
+            want |= set(zip(i.tolist(), j.tolist()))
+        single = {(x, y) for held in cells.pairs.values() for p in held for x, y in p.T.tolist()}
+        whole = {(x, y) for left, right in cells.dense.values() for x in left for y in right}
+        assert single <= want <= single | whole
+        assert all(len(left) <= block and len(right) <= block for left, right in cells.dense.values())
 
 
 def test_likeness_equals_jaccard(monkeypatch):
