@@ -37,7 +37,7 @@ BLOCK, BLOCK_HASHES, COLUMNS = 512, 1 << 20, 4096
 #: Fingerprints that are compared at a time.
 COMPARED = 1 << 18
 #: Pairs for each set from which on blocks are compared whole.
-DENSE = 4
+DENSE = 1
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -254,7 +254,8 @@ def likeness(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
 
 def confirmed(found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: links whose trees hold all pairs of nodes that proposed() found and whose sets have a similarity of at least SIMILAR."""
-    met = found.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
+    # distinct on either side first: a node's many pairs are combined where they are read
+    met = found.select(F.col("a").alias("node")).distinct().union(found.select("b").distinct()).filter("node is not null").distinct()
     met = written(nodes.select("node", "text_id").join(met, "node", "left_semi"), "met_sets")
     texts = docs.select(F.xxhash64("text").alias("text_id"), "text").join(few(met), "text_id")
     texts = texts.groupBy("node").agg(F.any_value("text").alias("text"))
