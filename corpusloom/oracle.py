@@ -158,9 +158,9 @@ SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 5) AS norm2,
     "hybrid_terms": _hybrid(["mit license", "license", "apache"], 1.05),
     "hybrid_query_only": _hybrid(["idiot", "trash"], 0.15),
     "hybrid_scope": _hybrid(["idiot", "trash"], 0.15, IN_SCOPE),
-    "fuse_ranks": f"""WITH d AS (SELECT doc_id, 'd' || doc_id AS path FROM documents WHERE doc_id < 60),
-lex AS (SELECT path, row_number() OVER (ORDER BY doc_id * 7 % 31 + doc_id / 100.0::DOUBLE) AS rank FROM d WHERE doc_id % 2 = 0),
-vec AS (SELECT path, row_number() OVER (ORDER BY doc_id * 5 % 29 + doc_id / 100.0::DOUBLE) AS rank FROM d WHERE doc_id % 3 = 0), {_fuse(1.05)}
+    "fuse_ranks": f"""WITH d AS (SELECT doc_id, n_chars, lang, 'd' || doc_id AS path FROM documents),
+lex AS (SELECT path, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM d QUALIFY rank <= 1000),
+vec AS (SELECT path, row_number() OVER (ORDER BY n_chars, doc_id) AS rank FROM d WHERE lang <> 'en' QUALIFY rank <= 1000), {_fuse(1.05)}
 SELECT path, lex_rank, vec_rank, round(rrf_score, 6) AS rrf_score FROM fused""",
     "index_diff": f"WITH {SNAPSHOTS} SELECT * FROM classified",
     "index_report": f"WITH {SNAPSHOTS} SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'skipped') AS skipped FROM classified",

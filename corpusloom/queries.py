@@ -233,12 +233,11 @@ def hybrid_scope(spark, sf):
 
 @query
 def fuse_ranks(spark, sf):
-    """Fusion alone, of two rankings made from the documents' ids."""
-    docs = table(spark, sf, "documents").filter("doc_id < 60")
-    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    a = docs.filter("doc_id % 2 = 0").select(path.alias("path"), (F.col("doc_id") * 7 % 31 + F.col("doc_id") / 100).alias("o"))
-    b = docs.filter("doc_id % 3 = 0").select(path.alias("path"), (F.col("doc_id") * 5 % 29 + F.col("doc_id") / 100).alias("o"))
-    rank = lambda d: d.select("path", F.row_number().over(Window.partitionBy().orderBy("o")).alias("rank"))
+    """Fusion alone, of two rankings of depth 1000 over all documents: the longest ones, and the shortest ones that are not English."""
+    docs = table(spark, sf, "documents").withColumn("path", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    a = docs.orderBy(F.desc("n_chars"), "doc_id").limit(1000).select("path", (-F.col("n_chars")).alias("first"), "doc_id")
+    b = docs.filter("lang <> 'en'").orderBy("n_chars", "doc_id").limit(1000).select("path", F.col("n_chars").alias("first"), "doc_id")
+    rank = lambda d: d.select("path", F.row_number().over(Window.partitionBy().orderBy("first", "doc_id")).alias("rank"))
     return fuse(rank(a), rank(b), WITH_TERMS).select("path", *(F.col(c).cast("long").alias(c) for c in ("lex_rank", "vec_rank")), _six("rrf_score"))
 
 
