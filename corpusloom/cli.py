@@ -126,8 +126,7 @@ def _ranked(args, spark: SparkSession, embedder: Embedder | None, path: str, opt
     if not args.quiet and (stale := snapshot.stale_count(listed, index.table("files")).first()["stale"]):
         print(f"warning: {stale} files changed since the index was built", file=sys.stderr)
     corpus = walked(spark, root, options).select("path", "content")
-    sought = sorted({t for p in phrases(query) for t in p})
-    docs = from_index(index.table("postings"), index.table("sizes"), sought)
+    docs = from_index(index.table("postings"), index.totals(), phrases(query))
     spans = index.table("chunks").select("path", "ord", "byte_start", "byte_end", "line_start", "line_end")
     if mode == "lex":
         hits = locate_spans(lexical(docs, query), corpus, span_words(query))

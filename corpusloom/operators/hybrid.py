@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.lexical import Query, bm25, phrases
+from corpusloom.operators.lexical import Counted, Query, bm25, phrases
 from corpusloom.operators.semantic import semantic
 
 #: Offset of reciprocal ranks, share of the lesser signal, weight of the lexical one with and without terms, least depth.
@@ -30,7 +30,7 @@ def fuse(lexical_rows: DataFrame, semantic_rows: DataFrame, lexical_weight: floa
     return both.select("path", "lex_rank", "vec_rank", (F.greatest(a, b) + LESSER * F.least(a, b)).alias("rrf_score"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: Query, vector: Sequence[float], *, threshold: float = 0.4) -> DataFrame:
+def hybrid(docs: Counted, vectors: DataFrame, query: Query, vector: Sequence[float], *, threshold: float = 0.4) -> DataFrame:
     """path, score, lex_rank, vec_rank, ord (the file's best chunk, null if only words found it).
 
     Both searches go deeper than the result; only the semantic one has a threshold.

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import in_scope
@@ -13,6 +14,8 @@ from corpusloom.functions.text import TOKEN, index_tokens
 
 #: Fixed values of the ranking function: weights of path and content, k1, b, and the least inverse document frequency.
 PATH_WEIGHT, CONTENT_WEIGHT, K1, B, LEAST_IDF = 0.5, 1.0, 1.2, 0.75, 1e-6
+#: Columns of a written index's postings: named to the reader, it opens no file to ask.
+POSTINGS = "token string, path string, field string, at int, n int"
 #: Words of a term count alone if longer than this.
 SHORT_WORD = 3
 
@@ -62,75 +65,108 @@ def span_words(query: Query) -> list[str]:
     return [w for t in query.terms or (query.text,) for w in query_words(t)]
 
 
-def _met(tokens: Column, sought: list[str]) -> Column:
-    """array<struct<token,at>> of the sought tokens in a document, in order."""
-    numbered = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("at")))
-    return F.filter(numbered, lambda x: x["token"].isin(sought))
+class Counted(NamedTuple):
+    """What scoring needs of a corpus.
 
+    rows: path, n (tokens) and the weighted count of each different phrase, f0, f1, ...; rows
+    without any phrase may be missing. totals: one row, docs and total (tokens), of the whole corpus.
+    """
 
-def tokenised(corpus: DataFrame, sought: list[str]) -> DataFrame:
-    """path, n (tokens), in_path, in_content: what scoring needs of each document, in one narrow pass."""
-    cut = corpus.select("path", index_tokens(F.col("path")).alias("p"), index_tokens(F.coalesce("content", F.lit(""))).alias("c"))
-    return cut.select("path", (F.size("p") + F.size("c")).alias("n"), _met(F.col("p"), sought).alias("in_path"), _met(F.col("c"), sought).alias("in_content"))
+    rows: DataFrame
+    totals: DataFrame
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """token, path, field, at: the inverted index. Written sorted by token, a search reads its tokens' row groups only."""
-    fields = F.array(
-        F.struct(F.lit("path").alias("field"), index_tokens(F.col("path")).alias("tokens")),
-        F.struct(F.lit("content").alias("field"), index_tokens(F.coalesce("content", F.lit(""))).alias("tokens")),
-    )
-    each = corpus.select("path", F.explode(fields).alias("f"))
-    return each.select("path", "f.field", F.posexplode("f.tokens").alias("at", "token")).select("token", "path", "field", "at")
+def _distinct(sought: list[list[str]]) -> list[list[str]]:
+    return [list(p) for p in dict.fromkeys(map(tuple, sought))]
 
 
-def document_sizes(corpus: DataFrame) -> DataFrame:
-    """path, n: tokens in path and content."""
-    return corpus.select("path", (F.size(index_tokens(F.col("path"))) + F.size(index_tokens(F.coalesce("content", F.lit(""))))).alias("n"))
+def times(text: Column, phrase: list[str]) -> Column:
+    """How often a phrase occurs in a text in lower case: its tokens side by side.
+
+    Only the first token is consumed, so that occurrences may overlap; it stands first in the
+    pattern for the matcher to skip by. Tokens are letters and numbers and need no quoting.
+    """
+    part, gap = TOKEN[:-1], TOKEN.replace("[", "[^", 1)
+    rest = "".join(f"{gap}{t}" for t in phrase[1:])
+    pattern = f"{phrase[0]}(?<!{part}{phrase[0]})(?={rest}(?!{part}))"
+    return F.when(F.contains(text, F.lit(phrase[0])), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+
+def from_texts(corpus: DataFrame, sought: list[list[str]]) -> Counted:
+    """Counts from texts, each tokenised once.
+
+    The exchange holds a few numbers for each document and serves both the totals and the hits;
+    the generator above it keeps filters and projections of the two from parting them below (an
+    outer one: for others the optimizer would count everything once more to see that it is not empty).
+    """
+    low = corpus.select("path", F.lower("path").alias("p"), F.lower(F.coalesce("content", F.lit(""))).alias("c"))
+    weights = [PATH_WEIGHT * times(F.col("p"), p) + CONTENT_WEIGHT * times(F.col("c"), p) for p in _distinct(sought)]
+    count = F.regexp_count("p", F.lit(TOKEN)) + F.regexp_count("c", F.lit(TOKEN))
+    numbers = F.struct(count.alias("n"), *(w.alias(f"f{i}") for i, w in enumerate(weights)))
+    rows = low.select("path", F.array(numbers).alias("numbers")).repartition("path").select("path", F.inline_outer("numbers"))
+    return Counted(rows, rows.agg(F.count("*").alias("docs"), F.sum("n").alias("total")))
+
 
+def postings(corpus: DataFrame) -> DataFrame:
+    """token, path, field, at, n (tokens of the document): the inverted index.
+
+    Written sorted by token, a search reads its tokens' row groups only, and nothing else: the
+    document's size is on the row.
+    """
+    cut = corpus.select("path", index_tokens(F.col("path")).alias("p"), index_tokens(F.coalesce("content", F.lit(""))).alias("c"))
+    field = lambda name, tokens: F.struct(F.lit(name).alias("field"), F.col(tokens).alias("tokens"))
+    each = cut.select("path", (F.size("p") + F.size("c")).alias("n"), F.explode(F.array(field("path", "p"), field("content", "c"))).alias("f"))
+    return each.select("path", "n", "f.field", F.posexplode("f.tokens").alias("at", "token")).select("token", "path", "field", "at", "n")
 
-def from_index(index: DataFrame, sizes: DataFrame, sought: list[str]) -> DataFrame:
-    """The same rows as tokenised(), from a written index: only documents that hold a sought token meet."""
-    hits = index.filter(F.col("token").isin(sought))
-    of = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("at", "token"))))
-    grouped = hits.groupBy("path").agg(of("path").alias("p"), of("content").alias("c"))
-    turned = lambda c: F.transform(c, lambda x: F.struct(x["token"].alias("token"), x["at"].alias("at")))
-    none = F.array().cast("array<struct<token:string,at:int>>")
-    joined = sizes.join(grouped, "path", "left")
-    return joined.select("path", "n", F.coalesce(turned("p"), none).alias("in_path"), F.coalesce(turned("c"), none).alias("in_content"))
 
+def document_sizes(corpus: DataFrame) -> DataFrame:
+    """path, n: tokens in path and content."""
+    return corpus.select("path", (F.regexp_count(F.lower("path"), F.lit(TOKEN)) + F.regexp_count(F.lower(F.coalesce("content", F.lit(""))), F.lit(TOKEN))).alias("n"))
 
-def occurrences(met: Column, phrase: list[str]) -> Column:
-    """How often a phrase occurs: its tokens side by side."""
 
-    def begins(x: Column) -> Column:
-        out = x["token"] == phrase[0]
-        for step, token in enumerate(phrase[1:], 1):
-            here = F.struct(F.lit(token).alias("token"), (x["at"] + step).alias("at"))
-            out = out & F.array_contains(met, here)
-        return out
+def totals(sizes: DataFrame) -> DataFrame:
+    """One row, docs and total: what an index stores of its documents' sizes."""
+    return sizes.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
-    return F.size(F.filter(met, begins))
 
+def from_index(index: DataFrame, stored: DataFrame, sought: list[list[str]]) -> Counted:
+    """The same counts from a written index and its totals: only postings of the sought tokens are read.
 
-def bm25(docs: DataFrame, sought: list[list[str]], scope: str | None = None, limit: int | None = None) -> DataFrame:
+    A token at place a that is the phrase's k-th speaks for an occurrence that begins at a - k;
+    an occurrence is whole if all its tokens speak for it. Exchanged once, by document.
+    """
+    distinct = _distinct(sought)
+    roles: dict[str, list[tuple[int, int]]] = {}
+    for i, phrase in enumerate(distinct):
+        for k, token in enumerate(phrase):
+            roles.setdefault(token, []).append((i, k))
+    role = lambda i, k: F.struct(F.lit(i).alias("phrase"), F.lit(len(distinct[i])).alias("whole"), (F.col("at") - k).alias("begin"))
+    mine = F.coalesce(*(F.when(F.col("token") == t, F.array(*(role(i, k) for i, k in places))) for t, places in roles.items()))
+    voices = index.filter(F.col("token").isin(*roles)).select("path", "n", "field", F.inline_outer(mine)).repartition("path")
+    begun = voices.groupBy("path", "n", "field", "phrase", "whole", "begin").agg(F.count("*").alias("spoken")).filter("spoken = whole")
+    weight = F.when(F.col("field") == "path", PATH_WEIGHT).otherwise(CONTENT_WEIGHT)
+    counts = [F.sum(F.when(F.col("phrase") == i, weight).otherwise(0.0)).alias(f"f{i}") for i in range(len(distinct))]
+    return Counted(begun.groupBy("path", "n").agg(*counts), stored)
+
+
+def bm25(docs: Counted, sought: list[list[str]], scope: str | None = None, limit: int | None = None) -> DataFrame:
     """path, score, best first; documents without any phrase are out.
 
-    docs comes from tokenised() or from_index(). The statistics are those of the whole corpus, a
-    scope only filters rows; they are one row, joined by broadcast. Repeated phrases count again.
+    docs comes from from_texts() or from_index() for the same phrases. The statistics are those of
+    the whole corpus, a scope only filters rows; they are one row, joined by broadcast. Repeated
+    phrases count again.
     """
     if not sought:
-        return docs.select("path", F.lit(0.0).alias("score")).limit(0)
-    distinct = list(dict.fromkeys(map(tuple, sought)))
-    weights = [PATH_WEIGHT * occurrences(F.col("in_path"), list(p)) + CONTENT_WEIGHT * occurrences(F.col("in_content"), list(p)) for p in distinct]
-    found = docs.select("path", "n", *(w.alias(f"f{i}") for i, w in enumerate(weights)))
-    stats = found.agg(F.count("*").alias("docs"), F.sum("n").alias("total"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(distinct))))
-    hits = found.filter(in_scope(F.col("path"), scope)).filter(F.greatest(*(F.col(f"f{i}") for i in range(len(distinct))), F.lit(0.0)) > 0)
-    joined = hits.crossJoin(F.broadcast(stats))
+        return docs.rows.select("path", F.lit(0.0).alias("score")).limit(0)
+    distinct = _distinct(sought)
+    found = docs.rows.filter(F.greatest(*(F.col(f"f{i}") for i in range(len(distinct))), F.lit(0.0)) > 0)
+    met = found.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(distinct))))
+    stats = docs.totals.crossJoin(met)  # one row each
+    joined = found.filter(in_scope(F.col("path"), scope)).crossJoin(F.broadcast(stats))
     mean = F.col("total") / F.col("docs")
     score = F.lit(0.0)
     for phrase in sought:
-        i = distinct.index(tuple(phrase))
+        i = distinct.index(phrase)
         f, n = F.col(f"f{i}"), F.col(f"n{i}")
         idf = F.ln((F.col("docs") - n + 0.5) / (n + 0.5))
         idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
@@ -139,11 +175,9 @@ def bm25(docs: DataFrame, sought: list[list[str]], scope: str | None = None, lim
     return ranked if limit is None else ranked.orderBy(F.desc("score"), "path").limit(limit)
 
 
-def lexical(docs: DataFrame, query: Query) -> DataFrame:
+def lexical(docs: Counted, query: Query) -> DataFrame:
     """path, score in 0..1 and rank: the best hits by BM25, divided by the best score, then cut by the threshold."""
     ranked = bm25(docs, phrases(query), query.scope, query.topk)
-    from pyspark.sql import Window
-
     whole = Window.partitionBy().orderBy(F.desc("score"), "path")  # at most topk rows
     best = F.max("score").over(Window.partitionBy())
     out = ranked.select("path", F.when(best > 0, F.col("score") / best).otherwise(F.col("score")).alias("score"), F.row_number().over(whole).alias("rank"))

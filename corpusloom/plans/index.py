@@ -7,17 +7,26 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.models import DEFAULT, Model, resolve, signature
 from corpusloom.operators.chunking import chunk_documents, snippets
-from corpusloom.operators.lexical import document_sizes, postings
+from corpusloom.operators.lexical import POSTINGS, document_sizes, postings, totals
 from corpusloom.operators.semantic import Embedder, embed
 from corpusloom.plans import snapshot
 
-FOLDER, SCHEMA_VERSION, KEEP_SNAPSHOTS = ".loom", 1, 2
-TABLES = ("files", "chunks", "postings", "sizes")
+FOLDER, SCHEMA_VERSION, KEEP_SNAPSHOTS = ".loom", 2, 2
+#: A lock is held for two small files' time; an older one was left by a writer that died. Writers start again this often.
+LOCK_SECONDS, ATTEMPTS = 60, 20
+#: Tables of a snapshot with their columns.
+TABLES = {
+    "files": "path string, hash string, size long, mtime_ns long",
+    "chunks": "path string, ord int, byte_start long, byte_end long, line_start int, line_end int, vec array<float>",
+    "postings": POSTINGS,
+    "sizes": "path string, n int",
+}
 
 
 class SignatureError(ValueError):
@@ -56,6 +65,34 @@ class _Store:
         options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(draft, target, options)
 
+    def swap(self, name: str, seen: dict | None, meta: dict) -> bool:
+        """Write meta if the file still holds what was seen.
+
+        A lock file guards the moment between. HDFS makes a file exclusively in one step; a local
+        folder looks first, which leaves two writers of one machine a gap of microseconds.
+        """
+        lock, until = self.path(f"{self.folder}/.{name}-lock"), time.time() + 3 * LOCK_SECONDS
+        while True:
+            try:
+                self.fs.create(lock, False).close()
+                break
+            except Py4JJavaError:
+                if time.time() > until:
+                    raise
+                if not self.fs.exists(lock):
+                    continue
+                if time.time() - self.fs.getFileStatus(lock).getModificationTime() / 1000 > LOCK_SECONDS:
+                    self.fs.delete(lock, False)  # its writer is gone
+                time.sleep(0.05)
+        try:
+            found = self.read(name)
+            if (json.loads(found) if found else None) != seen:
+                return False
+            self.write(name, json.dumps(meta))
+            return True
+        finally:
+            self.fs.delete(lock, False)
+
     def delete(self, name: str = "") -> bool:
         return self.fs.delete(self.path(f"{self.folder}/{name}".rstrip("/")), True)
 
@@ -84,11 +121,15 @@ class Index:
         return Index(spark, root, meta)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root.rstrip('/')}/{FOLDER}/{self.meta['snapshot']}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root.rstrip('/')}/{FOLDER}/{self.meta['snapshot']}/{name}")
 
     def vectors(self) -> DataFrame:
         return self.table("chunks").select("path", "ord", "vec")
 
+    def totals(self) -> DataFrame:
+        """One row, docs and total, as counted when the index was written."""
+        return self.spark.range(1).select(F.lit(self.meta["docs"]).cast("long").alias("docs"), F.lit(self.meta["total"]).cast("long").alias("total"))
+
     def chunks_of(self, path: str) -> DataFrame:
         return self.table("chunks").filter(F.col("path") == path).orderBy("ord")
 
@@ -115,14 +156,24 @@ def update(spark: SparkSession, root: str, walked: DataFrame, embedder: Embedder
     """Bring the index in line with a walk (path, size, mtime_ns, unreadable, hash, readable_text, content).
 
     Only new and changed documents are cut and embedded. Everything is written as a new snapshot
-    and becomes current by one rename; an index of another signature is rebuilt.
+    and becomes current by one rename; an index of another signature is rebuilt. Where two writers
+    meet, the later one starts again from what the earlier one wrote.
     """
-    began, store, old = time.time(), _Store(spark, root), Index.open(spark, root)
+    began, store = time.time(), _Store(spark, root)
+    for _ in range(ATTEMPTS):
+        counts = _attempt(spark, root, store, walked, embedder, model)
+        if counts is not None:
+            return counts | {"seconds": round(time.time() - began, 3)}
+    raise RuntimeError(f"{root}: other writers were faster {ATTEMPTS} times")
+
+
+def _attempt(spark: SparkSession, root: str, store: _Store, walked: DataFrame, embedder: Embedder, model: str | None) -> dict | None:
+    """One update from the snapshot that is current now; None where another writer moved the pointer meanwhile."""
+    past = old = Index.open(spark, root)
     spec = resolve(model or (old.meta["model_repo"] if old else DEFAULT))
     if old is not None and old.meta["signature"] != signature(spec):
         old = None
-    files_schema = "path string, hash string, size long, mtime_ns long"
-    indexed = old.table("files") if old else spark.createDataFrame([], files_schema)
+    indexed = old.table("files") if old else spark.createDataFrame([], TABLES["files"])
     name = f"snapshot-{uuid.uuid4().hex}"
     base = f"{store.folder}/{name}"
     # the decisions are written first: what follows reads one version of them
@@ -149,11 +200,15 @@ def update(spark: SparkSession, root: str, walked: DataFrame, embedder: Embedder
         whole.write.parquet(f"{base}/{table}")
     counts = snapshot.report(decided).first().asDict()
     counts["chunks_embedded"] = spark.read.parquet(f"{base}/chunks").join(decided.filter(F.col("status").isin("added", "updated")).select("path"), "path", "left_semi").count()
-    meta = {"schema_version": SCHEMA_VERSION, "snapshot": name, "model_alias": spec.alias, "model_repo": spec.repo, "dims": embedder.dims, "signature": signature(spec)}
-    store.write("CURRENT", json.dumps(meta))
-    if old is not None:
-        store.delete(old.meta["snapshot"])
-    return counts | {"seconds": round(time.time() - began, 3)}
+    whole = totals(spark.read.parquet(f"{base}/sizes")).first().asDict()
+    kept = [past.meta["snapshot"], *past.meta["before"]] if past else []
+    meta = whole | {"schema_version": SCHEMA_VERSION, "snapshot": name, "before": kept[: KEEP_SNAPSHOTS - 1], "model_alias": spec.alias, "model_repo": spec.repo, "dims": embedder.dims, "signature": signature(spec)}
+    if not store.swap("CURRENT", past and past.meta, meta):
+        store.delete(name)
+        return None
+    for gone_by in kept[KEEP_SNAPSHOTS - 1 :]:
+        store.delete(gone_by)
+    return counts
 
 
 def add_file(spark: SparkSession, root: str, walked: DataFrame, path: str, embedder: Embedder) -> dict:

@@ -10,7 +10,7 @@ from corpusloom.operators import render
 from corpusloom.operators.chunking import chunk_documents, locate_spans, snippets
 from corpusloom.operators.grep import grep
 from corpusloom.operators.hybrid import WITH_TERMS, fuse, hybrid
-from corpusloom.operators.lexical import Query, bm25, document_sizes, from_index, lexical, phrases, postings, span_words, tokenised
+from corpusloom.operators.lexical import Counted, Query, bm25, document_sizes, from_index, from_texts, lexical, phrases, postings, span_words, totals
 from corpusloom.operators.semantic import HashEmbedder, embed, normalised, semantic
 from corpusloom.plans import snapshot
 from corpusloom.sources.corpus import chunk_vectors, documents, pages, table
@@ -25,8 +25,8 @@ def query(f):
     return f
 
 
-def _docs(spark, sf, q: Query) -> DataFrame:
-    return tokenised(documents(spark, sf), sorted({t for p in phrases(q) for t in p}))
+def _docs(spark, sf, q: Query) -> Counted:
+    return from_texts(documents(spark, sf), phrases(q))
 
 
 def _vector(spark: SparkSession, sf: str) -> list[float]:
@@ -154,7 +154,7 @@ def bm25_indexed(spark, sf):
     """The phrase search over an inverted index instead of texts."""
     q = Query("", terms=("licensed under the", "mit license"))
     corpus = documents(spark, sf)
-    docs = from_index(postings(corpus), document_sizes(corpus), sorted({t for p in phrases(q) for t in p}))
+    docs = from_index(postings(corpus), totals(document_sizes(corpus)), phrases(q))
     return _ranked(bm25(docs, phrases(q), limit=20))
 
 

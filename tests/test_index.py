@@ -89,6 +89,24 @@ def test_index_life(spark, tmp_path):
     assert clean(spark, str(root)) and not (root / FOLDER).exists() and (root / "a.md").exists()
 
 
+def test_two_writers_and_past_snapshots(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root, embedder = tmp_path / "corpus", HashEmbedder()
+    put(root, "a.md", "alpha")
+    put(root, "b.md", "beta")
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(update, spark, str(root), walk(spark, root), embedder, OFFLINE.alias) for _ in range(2)]:
+            done.result()
+    index = Index.open(spark, str(root))
+    assert sorted(r["path"] for r in index.table("files").collect()) == ["a.md", "b.md"]
+    assert (index.meta["docs"], index.meta["total"]) == (2, 6) and index.totals().first()["total"] == 6
+    put(root, "b.md", "gamma")
+    update(spark, str(root), walk(spark, root), embedder, OFFLINE.alias)
+    assert sorted(r["token"] for r in index.table("postings").filter("field = 'content'").collect()) == ["alpha", "beta"]  # a reader keeps its snapshot
+    assert len([f for f in os.listdir(root / FOLDER) if f.startswith("snapshot-")]) == 2 and not any("lock" in f for f in os.listdir(root / FOLDER))
+
+
 def test_stream(spark, tmp_path):
     from corpusloom.streaming.ingest import ingest
 

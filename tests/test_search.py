@@ -1,6 +1,7 @@
 """Search operators on small corpora: grammar, scopes, spans, thresholds, fusion."""
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths, text
@@ -8,7 +9,7 @@ from corpusloom.operators import render
 from corpusloom.operators.chunking import chunk_documents, chunks, estimate, locate_spans, long_estimate, snippets
 from corpusloom.operators.grep import grep
 from corpusloom.operators.hybrid import BARE, WITH_TERMS, fuse
-from corpusloom.operators.lexical import Query, bm25, document_sizes, from_index, lexical, phrases, postings, tokenised
+from corpusloom.operators.lexical import Query, bm25, document_sizes, from_index, from_texts, lexical, phrases, postings, totals
 from corpusloom.operators.semantic import HashEmbedder, embed, normalised, semantic
 
 
@@ -70,16 +71,38 @@ def test_grep_context_is_clipped(spark):
 def test_phrase_beats_scattered_words(spark):
     df = files(spark, ("p", "the ancient granite bridge stands"), ("s", "granite here and a bridge there, ancient"), ("o", "nothing"), ("z", "other words still"))
     q = Query("", terms=("ancient granite bridge",))
-    rows = bm25(tokenised(df, sorted({t for p in phrases(q) for t in p})), phrases(q), limit=10).collect()
+    rows = bm25(from_texts(df, phrases(q)), phrases(q), limit=10).collect()
     assert [r["path"] for r in rows] == ["p", "s"]
-    sought = sorted({t for p in phrases(q) for t in p})
-    again = bm25(from_index(postings(df), document_sizes(df), sought), phrases(q), limit=10).collect()
+    again = bm25(from_index(postings(df), totals(document_sizes(df)), phrases(q)), phrases(q), limit=10).collect()
     assert [(r["path"], round(r["score"], 9)) for r in again] == [(r["path"], round(r["score"], 9)) for r in rows]
 
 
+def test_phrases_overlap_and_keep_to_tokens(spark):
+    df = files(spark, ("t", "a a a ba a,A ab\nA"), ("İ", "İstanbul x1a a\u0301a"), ("a/a", None), ("", ""))
+    sought = [["a", "a"], ["a"], ["i"], ["stanbul", "x1a", "a", "a"], ["zzz"]]
+    cut = {r["path"]: regex.findall(text.TOKEN, r["c"]) for r in df.select("path", F.lower(F.coalesce("content", F.lit(""))).alias("c")).collect()}
+    names = {r["path"]: regex.findall(text.TOKEN, r["p"]) for r in df.select("path", F.lower("path").alias("p")).collect()}
+    count = lambda tokens, p: sum(tokens[i : i + len(p)] == p for i in range(len(tokens)))
+    by_hand = {path: (len(cut[path]) + len(names[path]), *(0.5 * count(names[path], p) + count(cut[path], p) for p in sought)) for path in cut}
+    of_texts = {r[0]: tuple(r[1:]) for r in from_texts(df, sought).rows.collect()}
+    of_index = {r[0]: tuple(r[1:]) for r in from_index(postings(df), totals(document_sizes(df)), sought).rows.collect()}
+    assert of_texts == by_hand and by_hand["t"][1] == 3 and by_hand["İ"][4] == 1
+    assert of_index == {k: v for k, v in by_hand.items() if any(v[1:])}
+
+
+def test_texts_are_read_and_cut_once(spark, tmp_path):
+    files(spark, ("p", "one two"), ("q", "two three")).write.parquet(str(tmp_path / "c"))
+    sought = [["one"], ["two", "three"]]
+    found = bm25(from_texts(spark.read.parquet(str(tmp_path / "c")), sought), sought, limit=5)
+    found.collect()
+    assert "size(array(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no second count to test for emptiness
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan parquet") == 1 and plan.count("ReusedExchange") == 2
+
+
 def test_lexical_normalises_then_cuts(spark):
     df = files(spark, *[(f"f{i}", "apple " * (i + 1) + "pear fig") for i in range(4)], *[(f"g{i}", "none") for i in range(9)])
-    docs = tokenised(df, ["apple"])
+    docs = from_texts(df, [["apple"]])
     every = lexical(docs, Query("apple")).collect()
     assert max(r["score"] for r in every) == 1.0
     some = lexical(docs, Query("apple", threshold=0.8)).collect()
@@ -162,7 +185,7 @@ def test_json_forms(spark):
 def test_empty_corpus(spark):
     df = spark.createDataFrame([], "path string, content string")
     assert grep(df, "x").count() == 0 and chunk_documents(df).count() == 0
-    assert bm25(tokenised(df, ["x"]), [["x"]], limit=5).count() == 0
+    assert bm25(from_texts(df, [["x"]]), [["x"]], limit=5).count() == 0
 
 
 def test_embedder(spark):
