@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.models import DEFAULT, OFFLINE, resolve
+from corpusloom.functions.paths import in_scope
 from corpusloom.operators import render
 from corpusloom.operators.chunking import locate_spans, snippets
 from corpusloom.operators.grep import grep
@@ -89,32 +90,39 @@ def _run(args, spark: SparkSession, embedder: Embedder | None) -> int:
     for flag in ranked_only if mode == "regex" else regex_only:
         warnings.warn(f"{flag} has no effect in {mode} mode", stacklevel=1)
     paths = args.paths or ["."]
-    shown = 0
+    shown = unread = 0
     for path in paths:
         names = len(paths) > 1 or os.path.isdir(path)
-        lines = _regex(args, spark, path, options, names) if mode == "regex" else _ranked(args, spark, embedder, path, options, names, mode)
+        if mode == "regex":
+            lines, errors = _regex(args, spark, path, options, names)
+            unread += errors
+        else:
+            lines = _ranked(args, spark, embedder, path, options, names, mode)
         for line in lines:
             print(line)
             shown += 1
+    if unread:
+        print(f"warning: {unread} files cannot be read", file=sys.stderr)
     if not shown and not args.quiet:
         print("No matches found", file=sys.stderr)
-    return FOUND if shown else NOTHING
+    return FOUND if shown else ERROR if unread else NOTHING
 
 
-def _regex(args, spark: SparkSession, path: str, options: WalkOptions, names: bool) -> list[str]:
+def _regex(args, spark: SparkSession, path: str, options: WalkOptions, names: bool) -> tuple[list[str], int]:
+    """The lines to print, and how many files in scope could not be read: without a match that is an error."""
     root = path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path))
     corpus = walked(spark, root, options)
-    if not corpus.filter("unreadable").isEmpty():
-        print("warning: some files cannot be read", file=sys.stderr)
-    found = grep(corpus, args.pattern, fixed=args.fixed_strings, word=args.word_regexp, ignore_case=args.ignore_case, context=args.context, files_only=args.files_with_matches, limit=args.topk, scope=scope_of(root, path)).orderBy("path", "line", "byte_start")
+    scope = scope_of(root, path)
+    unread = corpus.filter(F.col("unreadable") & in_scope(F.col("path"), scope)).count()
+    found = grep(corpus, args.pattern, fixed=args.fixed_strings, word=args.word_regexp, ignore_case=args.ignore_case, context=args.context, files_only=args.files_with_matches, limit=args.topk, scope=scope).orderBy("path", "line", "byte_start")
     base = "" if root == "." else root
     if args.form:
         hits = render.matches_as_hits(found).orderBy("path", "line", "byte_start")
         out = render.jsonl(hits, not args.no_snippet, base) if args.form == "jsonl" else render.json(hits, base)
-        return [r["line"] for r in out.collect()]
+        return [r["line"] for r in out.collect()], unread
     if args.files_with_matches:
-        return [os.path.join(base, r["path"]) for r in found.select("path").collect()]
-    return [r["block"] for r in render.match_text(found, line_numbers=args.line_number, filenames=names, base=base).collect()]
+        return [os.path.join(base, r["path"]) for r in found.select("path").collect()], unread
+    return [r["block"] for r in render.match_text(found, line_numbers=args.line_number, filenames=names, base=base).collect()], unread
 
 
 def _ranked(args, spark: SparkSession, embedder: Embedder | None, path: str, options: WalkOptions, names: bool, mode: str) -> list[str]:
@@ -133,6 +141,8 @@ def _ranked(args, spark: SparkSession, embedder: Embedder | None, path: str, opt
     else:
         model = resolve(args.model or index.meta["model_repo"])
         index.check(model)
+        if index.table("files").filter(in_scope(F.col("path"), query.scope)).isEmpty():
+            return []  # nothing to compare the query with
         embedder = embedder or _embedder(model.alias)
         vector = embedder.embed_query(model.query_prefix + query.text)
         least = query.threshold if query.threshold is not None else model.threshold

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.cli import main
 from corpusloom.functions.models import OFFLINE
@@ -122,6 +123,28 @@ def test_stream(spark, tmp_path):
     assert sorted((r["path"], r["token"]) for r in found) == [("a", "one"), ("b", "three"), ("c", "four")]
 
 
+def test_unread_files_and_empty_scope(spark, tmp_path, capsys, monkeypatch):
+    import corpusloom.cli as cli
+
+    root = tmp_path / "c"
+    put(root, "a.md", "quick fox")
+    put(root, "sub/b.md", "dog")
+    broken = lambda *args: walked(*args).withColumn("unreadable", F.col("path") == "a.md").withColumn("content", F.when(F.col("path") != "a.md", F.col("content")))
+    with monkeypatch.context() as m:
+        m.setattr(cli, "walked", broken)
+        run = lambda *args: main([*map(str, args)], spark)
+        assert run("quick", root) == 2 and "1 files cannot be read" in capsys.readouterr().err
+        assert run("dog", root) == 0 and run("quick", root / "sub") == 1
+    assert run("--index", root, "--model", OFFLINE.alias) == 0
+    (root / "late").mkdir()
+
+    class Unused(HashEmbedder):
+        def embed_query(self, text):
+            raise AssertionError("an empty scope needs no vector")
+
+    assert main(["--sem", "quick", str(root / "late")], spark, Unused()) == 1
+
+
 def test_command_line(spark, tmp_path, capsys):
     root = tmp_path / "c"
     put(root, "a.md", "the quick brown fox\njumps")
