@@ -159,18 +159,17 @@ def bm25(docs: Counted, sought: list[list[str]], scope: str | None = None, limit
     if not sought:
         return docs.rows.select("path", F.lit(0.0).alias("score")).limit(0)
     distinct = _distinct(sought)
-    found = docs.rows.filter(F.greatest(*(F.col(f"f{i}") for i in range(len(distinct))), F.lit(0.0)) > 0)
-    met = found.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(distinct))))
+    found = docs.rows.filter(" OR ".join(f"f{i} > 0" for i in range(len(distinct))))
+    met = found.agg(*(F.expr(f"count_if(f{i} > 0) AS n{i}") for i in range(len(distinct))))
     stats = docs.totals.crossJoin(met)  # one row each
     joined = found.filter(in_scope(F.col("path"), scope)).crossJoin(F.broadcast(stats))
-    mean = F.col("total") / F.col("docs")
-    score = F.lit(0.0)
+    # as text: one call to the session's engine for each query, not dozens for each phrase
+    parts = []
     for phrase in sought:
         i = distinct.index(phrase)
-        f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.ln((F.col("docs") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / mean))
+        idf = f"ln((docs - n{i} + 0.5D) / (n{i} + 0.5D))"
+        parts.append(f"if({idf} <= 0, {LEAST_IDF}D, {idf}) * f{i} * {K1 + 1}D / (f{i} + {K1}D * ({1 - B}D + {B}D * n / (total / docs)))")
+    score = F.expr(" + ".join(parts))
     ranked = joined.select("path", score.alias("score"))
     return ranked if limit is None else ranked.orderBy(F.desc("score"), "path").limit(limit)
 
