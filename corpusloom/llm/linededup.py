@@ -345,6 +345,7 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK)
                         some = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), dtype=bool)
                         key, owner, filed = key[some], owner[some], filed[some]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owners[owner]), pa.array(filed)], names=["key", "id", "own"])
+            _powers.cache_clear()  # the worker lives on
 
         return docs.select("text").mapInArrow(run, "key long, id long, own boolean")
 
