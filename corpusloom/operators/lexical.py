@@ -16,6 +16,8 @@ from corpusloom.functions.text import TOKEN, index_tokens
 PATH_WEIGHT, CONTENT_WEIGHT, K1, B, LEAST_IDF = 0.5, 1.0, 1.2, 0.75, 1e-6
 #: Columns of a written index's postings: named to the reader, it opens no file to ask.
 POSTINGS = "token string, path string, field string, at int, n int"
+#: Paths of several rows that are broadcast at most; more are met in a shuffled join.
+BROADCAST_PATHS = 100_000
 #: Words of a term count alone if longer than this.
 SHORT_WORD = 3
 
@@ -119,6 +121,33 @@ def postings(corpus: DataFrame) -> DataFrame:
     return each.select("path", "n", "f.field", F.posexplode("f.tokens").alias("at", "token")).select("token", "path", "field", "at", "n")
 
 
+def token_stats(corpus: DataFrame) -> DataFrame:
+    """token, n (postings), docs (distinct paths), places (sum of at): the dictionary of the inverted index.
+
+    A document tells each of its different tokens once, so that a path that no other row has is
+    counted without being named: tasks add up by token, and no path is exchanged with one. Rows
+    that share a path are counted by distinct paths; which these are is found first, from the
+    paths alone.
+    """
+    again = corpus.groupBy("path").count().filter("count > 1").select("path")
+    shared = again.count()
+    alone = corpus
+    if shared:
+        again = F.broadcast(again) if shared <= BROADCAST_PATHS else again
+        alone = corpus.join(again, "path", "left_anti")
+    cut = alone.select("path", index_tokens(F.col("path")).alias("p"), index_tokens(F.coalesce("content", F.lit(""))).alias("c"))
+    kind = lambda posting, tokens: F.struct(F.lit(posting).alias("posting"), tokens.alias("tokens"))
+    both = F.array_distinct(F.concat(F.coalesce("p", F.array().cast("array<string>")), "c"))
+    each = cut.select("path", F.explode(F.array(kind(True, F.col("p")), kind(True, F.col("c")), kind(False, both))).alias("k"))
+    each = each.select("path", "k.posting", F.posexplode("k.tokens").alias("at", "token"))
+    told = F.count(F.when(~F.col("posting"), F.col("path")))
+    found = each.groupBy("token").agg(F.expr("count_if(posting)").alias("n"), told.alias("docs"), F.expr("coalesce(sum(at) FILTER (WHERE posting), 0L)").alias("places"))
+    if not shared:
+        return found
+    others = postings(corpus.join(again, "path", "left_semi")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("path").alias("docs"), F.sum("at").alias("places"))
+    return found.unionByName(others).groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "docs", "places")))
+
+
 def document_sizes(corpus: DataFrame) -> DataFrame:
     """path, n: tokens in path and content."""
     return corpus.select("path", (F.regexp_count(F.lower("path"), F.lit(TOKEN)) + F.regexp_count(F.lower(F.coalesce("content", F.lit(""))), F.lit(TOKEN))).alias("n"))

@@ -5,11 +5,12 @@ import regex
 from pyspark.sql import functions as F
 
 from corpusloom.functions import paths, text
+from corpusloom.operators import lexical as lexical_module
 from corpusloom.operators import render
 from corpusloom.operators.chunking import chunk_documents, chunks, estimate, locate_spans, long_estimate, snippets
 from corpusloom.operators.grep import grep
 from corpusloom.operators.hybrid import BARE, WITH_TERMS, fuse
-from corpusloom.operators.lexical import Query, bm25, document_sizes, from_index, from_texts, lexical, phrases, postings, totals
+from corpusloom.operators.lexical import Query, bm25, document_sizes, from_index, from_texts, lexical, phrases, postings, token_stats, totals
 from corpusloom.operators.semantic import HashEmbedder, embed, normalised, semantic
 
 
@@ -182,6 +183,26 @@ def test_json_forms(spark):
     assert '"signals":{"lex_rank":null,"vec_rank":2,"rrf_score":1.0}' in render.jsonl(ranked).first()["line"]
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_token_stats_count_paths_once(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lexical_module, "BROADCAST_PATHS", broadcast)
+    df = files(spark, ("a/one.md", "One two two"), ("b.md", "two a"), ("b.md", "two three B"), ("b.md", None), ("c", ""), ("d", None), (None, "two four"))
+    want = postings(df).groupBy("token").agg(F.count("*"), F.count_distinct("path"), F.sum("at"))
+    stats = token_stats(df)
+    assert stats.columns == ["token", "n", "docs", "places"] and [t for _, t in stats.dtypes] == [t for _, t in want.dtypes]
+    rows = {tuple(r) for r in stats.collect()}
+    assert rows == {tuple(r) for r in want.collect()}
+    assert {r[0]: r[2] for r in rows} == {"a": 2, "one": 1, "two": 2, "three": 1, "b": 1, "md": 2, "c": 1, "d": 1, "four": 0}
+
+
+def test_token_stats_exchange_no_path(spark):
+    """What is exchanged does not grow with a token's documents, but with the tasks that hold it."""
+    df = spark.range(0, 2000, 1, 2).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit("the same few words").alias("content"))
+    plan = token_stats(df.select("path", "content"))._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not [x for x in dealt if "path" in x]
+
+
 def test_empty_corpus(spark):
     df = spark.createDataFrame([], "path string, content string")
     assert grep(df, "x").count() == 0 and chunk_documents(df).count() == 0
