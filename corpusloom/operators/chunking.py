@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.batches import runs
 from corpusloom.functions.paths import language
 from corpusloom.functions.text import DENSE, RATES, SYMBOL, WIDE, byte_slice, first_line, query_words
 
@@ -142,7 +143,7 @@ def chunk_documents(corpus: DataFrame) -> DataFrame:
     """path, ord, byte_start, byte_end, line_start, line_end; blank and null contents have no chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, "content"):
             rows = []
             for path, text, label in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "language")), strict=True):
                 rows += [(path, i, s.start, s.stop, s.first, s.last) for i, s in enumerate(chunks(text or "", label == "markdown"))]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.batches import runs
 from corpusloom.functions.paths import in_scope
 
 
@@ -47,10 +48,10 @@ class HashEmbedder:
 
 
 def embed(chunks: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
-    """chunks with a column vec, one Arrow batch at a time; null texts get null vectors."""
+    """chunks with a column vec, a bounded run of texts at a time; null texts get null vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, text):
             texts = batch.column(text).to_pylist()
             found = iter(embedder.embed_documents([t for t in texts if t is not None]))
             vectors = [None if t is None else next(found) for t in texts]

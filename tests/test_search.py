@@ -1,10 +1,11 @@
 """Search operators on small corpora: grammar, scopes, spans, thresholds, fusion."""
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from corpusloom.functions import paths, text
+from corpusloom.functions import batches, paths, text
 from corpusloom.operators import lexical as lexical_module
 from corpusloom.operators import render
 from corpusloom.operators.chunking import chunk_documents, chunks, estimate, locate_spans, long_estimate, snippets
@@ -213,3 +214,25 @@ def test_embedder(spark):
     df = spark.createDataFrame([("a", "one two"), ("b", None), ("c", "")], "path string, text string")
     rows = {r["path"]: r["vec"] for r in embed(df, HashEmbedder(16)).collect()}
     assert rows["b"] is None and sum(x * x for x in rows["a"]) == pytest.approx(1, abs=1e-6) and set(rows["c"]) == {0.0}
+
+
+def test_workers_hold_bounded_runs(spark):
+    class Told:
+        """Its vectors say how many texts and characters it was given at a time."""
+
+        def embed_documents(self, texts):
+            return [[float(len(texts)), float(sum(map(len, texts)))]] * len(texts)
+
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("word "), F.when(F.col("id") == 1500, 600_000).otherwise(400))).alias("text"))
+    rows = {int(r["path"]): r["vec"] for r in embed(texts, Told()).collect()}
+    assert sorted(rows) == list(range(3000)) and rows[0] is None
+    assert rows.pop(1500) == [1.0, 3_000_000.0]  # longer than a run: alone
+    assert max(v[0] for v in rows.values() if v) <= batches.ROWS and max(v[1] for v in rows.values() if v) <= batches.BYTES
+
+
+def test_runs_keep_all_rows_in_order():
+    texts = [None, "", "x" * batches.BYTES, "é" * batches.BYTES, *map(str, range(2 * batches.ROWS)), None]
+    whole = pa.RecordBatch.from_pydict({"text": texts})
+    cut = list(batches.runs(iter([whole, whole.slice(0, 0), whole.slice(3)]), "text"))
+    assert [t for b in cut for t in b.column(0).to_pylist()] == [*texts, *texts[3:]]
+    assert all(b.num_rows <= batches.ROWS and (b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(0).to_pylist()) <= batches.BYTES) for b in cut)
